@@ -39,6 +39,17 @@ def features(a: pa.Array, bits: int, wanted: np.ndarray | None = None) -> tuple[
     return code >> bits, code & ((1 << bits) - 1), np.diff(w.first)
 
 
+def training_features(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, feature) pairs of many texts, gathered slice by slice."""
+    a = strings(pa.array(texts, pa.string()))
+    docs, feats = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for i, j in chunks(a):
+        doc, feat, _ = features(a.slice(i, j - i), bits)
+        docs.append((doc + i).astype(np.int32))
+        feats.append(feat.astype(np.int32))
+    return np.concatenate(docs), np.concatenate(feats)
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -49,7 +60,7 @@ def severities(texts: list[str], toxic: np.ndarray, grades: int, bits: int) -> n
     A toxic text's grade is the quantile, among the toxic ones, of the number of its features that are far
     more frequent in toxic than in clean texts (ties share the lower grade).
     """
-    doc, feat, _ = features(strings(pa.array(texts, pa.string())), bits)
+    doc, feat = training_features(texts, bits)
     n1 = max(1, int(toxic.sum()))
     n0 = max(1, len(toxic) - n1)
     d1 = np.bincount(feat[toxic[doc] == 1], minlength=1 << bits)
@@ -78,7 +89,7 @@ class OrdinalModel:
         """
         grades = np.asarray(grades, np.int64)
         top = (int(grades.max(initial=0)) if n_grades is None else n_grades - 1) or 1
-        doc, feat, _ = features(strings(pa.array(texts, pa.string())), bits)
+        doc, feat = training_features(texts, bits)
         df = np.bincount(feat, minlength=1 << bits)
         use = df[feat] >= min_docs
         doc, feat = doc[use], feat[use]

@@ -48,10 +48,11 @@ class Bands:
     with more and emptier bands until it has enough: of two sets, the one that needs fewer levels is the guarantee.
     """
 
-    def __init__(self, percent: int, ratio: float = 1.25):
+    def __init__(self, percent: int):
         self.t = Fraction(percent, 100)
-        self.ratio = math.log(ratio)
-        self.step = ratio
+        # the fewest keys for each threshold: wide size ranges cost keys at their lower ends, narrow ones at overlaps
+        self.step, self.least = (1.5, 3) if percent >= 83 else (2.0, 2)
+        self.ratio = math.log(self.step)
 
     def differ(self, n: int) -> int:
         """The most shingles in which a set of n can differ from a linked one."""
@@ -62,8 +63,8 @@ class Bands:
         """(bands, least) of a size class, level after level."""
         top = self.step ** (cls + 1)
         r = self.differ(math.ceil(top))
-        p = max(1, math.ceil((r + 1) * 1.22))
-        least = 3 if top >= 40 else 2 if top >= 12 else 1
+        p = max(1, math.ceil((r + 1) * 1.5))
+        least = self.least if top >= 40 else min(2, self.least) if top >= 12 else 1
         while True:
             yield p, least
             p, least = 2 * p, max(1, least - 1)
@@ -285,7 +286,8 @@ def jaccard_components(
     points = durable(reps.select(F.col("rep").alias("id")).distinct())
 
     # rough groups
-    keyed = live.join(points, "id", "left_semi").select("id", F.explode("keys").alias("key"))
+    few = F.broadcast(points) if points.count() <= broadcast_rows else points
+    keyed = live.join(few, "id", "left_semi").select("id", F.explode("keys").alias("key"))
     n_parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     id_type = features.schema["id"].dataType.simpleString()
 

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from .common import components, durable
 
-#: Distances are computed from inner products; bounds give way by this much before they decide.
-SLACK = 1e-7
+#: Distances come from single-precision inner products; bounds give way by this much before they decide.
+SLACK = 2e-3
+#: Nodes of so many points are compared point by point rather than split further.
+SMALL = 256
 
 
 def chords(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -24,27 +26,42 @@ class CoverTree:
     Each level's children of a node are chosen greedily, the node's point first, so that they are more than the
     level's radius apart; every other point goes to a child within the radius. `reach` is the true covering radius,
     at most the level's. Levels that do not split a node are skipped. A leaf is one point, or points all alike.
+    Built from single-precision inner products, whose errors SLACK covers.
     """
 
     __slots__ = ("point", "reach", "children", "points")
 
-    def __init__(self, x: np.ndarray, points: np.ndarray, radius: float = 1.0, depth: int = 0):
-        self.points = points
-        self.point = int(points[0])
-        d = chords(x[points], x[self.point : self.point + 1])[:, 0]
-        self.reach = float(d.max())
+    def __init__(self, dot: np.ndarray, base: np.ndarray, own: np.ndarray, radius: float = 1.0, depth: int = 0):
+        """dot: inner products of a side's points; base: their numbers; own: the places in it of this node's points."""
+        self.points = base[own]
+        self.point = int(self.points[0])
         self.children: list[CoverTree] = []
-        if len(points) == 1 or self.reach <= SLACK or depth > 60:
-            self.reach = 0.0 if len(points) == 1 else self.reach
+        if len(own) == 1:
+            self.reach = 0.0
+            return
+        self.reach = math.sqrt(max(0.0, 2 - 2 * float(dot[own[0], own].min()))) + SLACK
+        if self.reach <= 2 * SLACK or depth > 60:
             return
         while radius >= self.reach:
             radius /= 2
-        left = np.arange(len(points))
-        while len(left):
-            near = chords(x[points[left]], x[points[left[0]]][None, :])[:, 0] <= radius
-            near[0] = True
-            self.children.append(CoverTree(x, points[left[near]], radius / 2, depth + 1))
-            left = left[~near]
+        free = np.zeros(len(dot), bool)
+        free[own] = True
+        cut = 1 - radius * radius / 2
+        whole = len(own) == len(dot)
+        for i in own:
+            if free[i]:
+                if whole:
+                    near = np.flatnonzero((dot[i] >= cut) & free)
+                else:
+                    near = own[(dot[i, own] >= cut) & free[own]]
+                near = np.concatenate([[i], near[near != i]])
+                free[near] = False
+                self.children.append(CoverTree(dot, base, near, radius / 2, depth + 1))
+
+    @classmethod
+    def build(cls, x32: np.ndarray, points: np.ndarray) -> "CoverTree":
+        side = x32[points]
+        return cls(side @ side.T, points, np.arange(len(points)))
 
 
 class Links:
@@ -79,50 +96,77 @@ class Links:
                 self.join(int(p[0]), int(j))
 
 
-def traverse(x: np.ndarray, a: CoverTree, b: CoverTree, cosine: float, links: Links) -> None:
+def traverse(x: np.ndarray, x32: np.ndarray, a: CoverTree, b: CoverTree, cosine: float, links: Links) -> None:
     """Links all pairs of a point under a and one under b (a is b: pairs within) whose cosine is at least `cosine`.
 
     A pair of nodes whose points are farther apart than the threshold and both reaches is dropped; one so close that
     all its pairs must link is linked as a whole; others are split, the children of both sides against each other.
+    Bounds use single precision and SLACK; single pairs are decided in double precision.
     """
     limit = math.sqrt(2 - 2 * cosine)
-    work = [(a, b)]
+    cut = 1 - (limit + SLACK) ** 2 / 2
+    work, single = [(a, b)], []
     while work:
         a, b = work.pop()
         if a is b and 2 * a.reach <= limit - SLACK:
             links.bundle(a.points, a.points, True)
             continue
-        p, q = a.children or [a], b.children or [b]
-        if len(p) == 1 and len(q) == 1 and not a.children and not b.children:  # leaves at the threshold
-            s = x[a.points] @ x[b.points].T >= cosine
-            for i, j in zip(*np.nonzero(s)):
-                u, v = int(a.points[i]), int(b.points[j])
-                if a is not b or u < v:
-                    links.count[u] += links.weight[v]
-                    links.count[v] += links.weight[u]
-                    links.join(u, v)
+        if not a.children and not b.children:
+            u, v = np.repeat(a.points, len(b.points)), np.tile(b.points, len(a.points))
+            single.append((u[u < v], v[u < v]) if a is b else (u, v))
             continue
+        p, q = a.children or [a], b.children or [b]
         pr, qr = np.array([c.reach for c in p]), np.array([c.reach for c in q])
         pi, qi = np.array([c.point for c in p]), np.array([c.point for c in q])
+        pn, qn = np.array([len(c.points) for c in p]), np.array([len(c.points) for c in q])
+        wide_q = np.flatnonzero(qr)
         for k in range(0, len(p), 1024):
-            dot = x[pi[k : k + 1024]] @ x[qi].T
-            d = np.sqrt(np.maximum(2 - 2 * dot, 0))
-            room = pr[k : k + 1024, None] + qr[None, :]
-            close = d <= limit + room + SLACK
+            dot = x32[pi[k : k + 1024]] @ x32[qi].T
+            close = dot >= cut
+            rows = np.flatnonzero(pr[k : k + 1024])  # few nodes have a reach; the others need no more than this
+            bound = lambda d, room: d >= np.where(limit + room + SLACK >= 2, -2, 1 - (limit + room + SLACK) ** 2 / 2)
+            if len(rows):
+                close[rows] = bound(dot[rows], pr[k + rows][:, None] + qr[None, :])
+            if len(wide_q):
+                close[:, wide_q] = bound(dot[:, wide_q], pr[k : k + 1024, None] + qr[None, wide_q])
+            i, j = np.nonzero(close)
             if a is b:
-                close &= np.arange(k, k + len(d))[:, None] <= np.arange(len(q))[None, :]
-            for i, j in zip(*np.nonzero(close)):
+                i, j = i[k + i <= j], j[k + i <= j]
+            lone = (pr[k + i] == 0) & (qr[j] == 0)
+            lone &= (pi[k + i] != qi[j]) if a is b else True
+            single.append((pi[k + i[lone]], qi[j[lone]]))
+            # what lies under small nodes meets the points of all partners of a node at once
+            same = (k + i == j) if a is b else np.zeros(len(i), bool)
+            both = ~lone & (same | ((pn[k + i] > SMALL) & (qn[j] > SMALL)))
+            half = ~lone & ~both
+            left = half & (pr[k + i] > 0)
+            for side, other, mine, theirs, ids in ((i[left] + k, j[left], p, q, 0), (j[half & ~left], k + i[half & ~left], q, p, 1)):
+                order = np.argsort(side, kind="stable")
+                side, other = side[order], other[order]
+                edges = np.flatnonzero(side != np.concatenate([[-1], side[:-1]])) if len(side) else []
+                for m, n in zip(edges, [*edges[1:], len(side)]):
+                    under = mine[side[m]].points
+                    points = np.concatenate([theirs[t].points for t in other[m:n]])
+                    g, h = np.nonzero(x32[under] @ x32[points].T >= cut)
+                    single.append((under[g], points[h]) if ids == 0 else (points[h], under[g]))
+            for i, j in zip(i[both], j[both]):
                 u, v = p[k + i], q[j]
                 if u is v:
-                    if u.reach or len(u.points) > 1:
+                    if u.reach:
                         work.append((u, u))
-                elif d[i, j] + room[i, j] <= limit - SLACK:
+                elif math.sqrt(max(0.0, 2 - 2 * float(dot[i, j]))) + pr[k + i] + qr[j] <= limit - SLACK:
                     links.bundle(u.points, v.points, False)
-                elif len(u.points) == 1 and len(v.points) == 1:
-                    if dot[i, j] >= cosine:
-                        links.bundle(u.points, v.points, False)
                 else:
                     work.append((u, v))
+    for u, v in single:
+        for k in range(0, len(u), 1 << 16):
+            m, n = u[k : k + (1 << 16)], v[k : k + (1 << 16)]
+            hit = np.einsum("ij,ij->i", x[m], x[n]) >= cosine
+            m, n = m[hit], n[hit]
+            np.add.at(links.count, m, links.weight[n])
+            np.add.at(links.count, n, links.weight[m])
+            for i, j in zip(m.tolist(), n.tolist()):
+                links.join(i, j)
 
 
 def near_duplicates(
@@ -188,10 +232,11 @@ def near_duplicates(
                     out[2].append(np.zeros(len(own), bool))
             if out[0]:
                 take = np.concatenate(out[0])
-                yield pa.record_batch([pa.array(np.concatenate(out[1]).astype(np.int64)), pa.array(np.concatenate(out[2])), ids.take(pa.array(take)), ns.take(pa.array(take)), b.column(1).take(pa.array(take))], names=["cell", "visitor", "pid", "n", "v"])
+                packed = pa.array([np.array(x, np.float64).tobytes() for x in vs], pa.binary())
+                yield pa.record_batch([pa.array(np.concatenate(out[1]).astype(np.int64)), pa.array(np.concatenate(out[2])), ids.take(pa.array(take)), ns.take(pa.array(take)), packed.take(pa.array(take))], names=["cell", "visitor", "pid", "n", "v"])
 
     id_type = points.schema["pid"].dataType.simpleString()
-    dealt = points.select("pid", "v", "n").mapInArrow(deal, f"cell long, visitor boolean, pid {id_type}, n long, v array<double>")
+    dealt = points.select("pid", "v", "n").mapInArrow(deal, f"cell long, visitor boolean, pid {id_type}, n long, v binary")
     dealt = dealt.withColumn("half", F.xxhash64("pid"))
     # (cell, visitor): at most twice as many rows as cells
     sizes = dealt.groupBy("cell", "visitor").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("blocks"))
@@ -212,18 +257,19 @@ def near_duplicates(
         side = table.column("side").to_numpy()
         pid, n, v = (table.column(c).combine_chunks() for c in ("pid", "n", "v"))
         total = len(side)
-        x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(total, -1) if total else np.zeros((0, 1))
+        x = np.frombuffer(b"".join(y.as_py() for y in v)).reshape(total, -1)
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        x32 = x.astype(np.float32)
         links = Links(total, n.to_numpy())
         kind, i, j = key[1].as_py(), key[2].as_py(), key[3].as_py()
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1)
         if len(left):
-            a = CoverTree(x, left)
+            a = CoverTree.build(x32, left)
             if kind == "m" and i == j:
-                traverse(x, a, a, cosine, links)
+                traverse(x, x32, a, a, cosine, links)
             elif len(right):
-                traverse(x, a, CoverTree(x, right), cosine, links)
+                traverse(x, x32, a, CoverTree.build(x32, right), cosine, links)
         hit = np.flatnonzero(links.count)
         e = np.array(links.edges, np.int64).reshape(-1, 2)
         ids = pa.concat_arrays([pid.take(pa.array(hit)), pid.take(pa.array(e[:, 0]))])

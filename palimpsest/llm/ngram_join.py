@@ -251,7 +251,7 @@ def jaccard_components(
        once: rows are range-partitioned by (key, id) and neighbours of equal key are chained, so that a key of any
        number of rows is cut over many tasks; where a cut runs through a key, the ends are stitched together.
     3. Rough groups are searched by count-vector R-trees. Small ones share tasks of about near_task points. A larger
-       one is cut into blocks; each block, with the group's first point added, is a task. Then points outside their
+       one falls apart into pairs of neighbouring size ranges, and what is still larger is cut into blocks; each block, with the group's first point added, is a task. Then points outside their
        group's largest component meet all blocks of the group, so that no link between components is missed.
     4. Links found (spanning forests) give the components.
 
@@ -282,11 +282,11 @@ def jaccard_components(
 
     features = durable(docs.select(id_col, text_col).mapInArrow(run, schema))
     live = features.where("n > 0 and id is not null")
-    reps = live.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-    points = durable(reps.select(F.col("rep").alias("id")).distinct())
+    reps = live.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
+    points = durable(reps.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n"), F.min("n").alias("least_n")))
 
     # rough groups
-    few = F.broadcast(points) if points.count() <= broadcast_rows else points
+    few = F.broadcast(points.select("id")) if points.count() <= broadcast_rows else points.select("id")
     keyed = live.join(few, "id", "left_semi").select("id", F.explode("keys").alias("key"))
     n_parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     id_type = features.schema["id"].dataType.simpleString()
@@ -318,19 +318,29 @@ def jaccard_components(
 
     # R-trees over the rough groups
     sizes = rough.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    sized = durable(rough.join(sizes, "component").select(F.col("node").alias("id"), F.col("component").alias("comp"), "m"))
+    sized = rough.join(sizes, "component").join(points, F.col("node") == F.col("id")).select("id", F.xxhash64("component").alias("comp"), "m", "n", "least_n")
+    # linked sets are in the same or in neighbouring size ranges: large groups fall apart into pairs of ranges
+    span = math.log(100 / percent) * 1.001 + 1e-9
+    at = lambda c: F.floor(F.log(c) / span).cast("int")
+    ranges = F.explode(F.sequence(at("least_n"), at("n") + 1)).alias("range")
+    pieces = sized.where(F.col("m") > block).select("id", "comp", ranges).select("id", F.xxhash64("comp", "range").alias("comp"))
+    pieces = durable(pieces)
+    piece_sizes = pieces.groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("head"))
+    pieces = pieces.join(piece_sizes, "comp")
+    sized = sized.where(F.col("m") <= block).select("id", "comp", "m", F.col("id").alias("head")).unionByName(pieces.select("id", "comp", "m", "head"))
+    sized = durable(sized)
     total = sized.count()
     packs = max(1, -(-total // near_task))
     texts = docs.select(F.col(id_col).alias("tid"), F.col(text_col).alias("t"))
     if total <= broadcast_rows:  # else the join by id alone sorts the texts out
-        texts = texts.join(F.broadcast(sized.select("id")), F.col("tid") == F.col("id"), "left_semi")
+        texts = texts.join(F.broadcast(sized.select("id").distinct()), F.col("tid") == F.col("id"), "left_semi")
     small = sized.where(F.col("m") <= block)
-    near = small.select("id", F.xxhash64("comp").alias("comp"), F.concat(F.lit("s"), F.pmod(F.xxhash64("comp"), F.lit(packs))).alias("task"))
+    near = small.select("id", "comp", F.concat(F.lit("s"), F.pmod("comp", F.lit(packs))).alias("task"))
     large = sized.where(F.col("m") > block).withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
     large = large.withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     name = lambda *c: F.concat_ws(":", F.lit("l"), *c)
-    within = large.select("id", F.xxhash64("comp").alias("comp"), F.explode(F.when(F.col("id") == F.col("comp"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("at"))).alias("b"), F.col("comp").alias("c"))
-    within = within.select("id", "comp", name("c", "b").alias("task"))
+    within = large.select("id", "comp", F.explode(F.when(F.col("id") == F.col("head"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("at"))).alias("b"))
+    within = within.select("id", "comp", name("comp", "b").alias("task"))
     first = near.union(within).select("id", "comp", "task", F.lit(0).alias("side"), F.col("id").cast("string").alias("label"))
     edges = durable(_tasks(first, texts, words, percent))
     if large.limit(1).count():
@@ -346,7 +356,7 @@ def jaccard_components(
         every = tagged.join(groups, F.col("comp") == F.col("c"))
         ask = apart.select("id", "comp", "label", "g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), F.lit(0).alias("side"))
         told = every.select("id", "comp", "label", F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("g"), F.col("at").alias("b"), F.lit(1).alias("side"))
-        second = ask.unionByName(told).select("id", F.xxhash64("comp").alias("comp"), name("comp", "g", "b").alias("task"), "side", F.col("label").cast("string").alias("label"))
+        second = ask.unionByName(told).select("id", "comp", name("comp", "g", "b").alias("task"), "side", F.col("label").cast("string").alias("label"))
         edges = edges.union(durable(_tasks(second, texts, words, percent)))
     found = components(edges)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from . import cover_tree, decontam, mixing, ngram_join, pii, secrets, sharding, suffix_tree, toxicity, url_filter
 from .common import table
 
-MAX_TRAINING_ROWS = 4000
+MAX_TRAINING_ROWS = 3000
 GRADES = 4
 WEIGHTS = [3.0, 1.0, 2.0]
 SHARDS = 16

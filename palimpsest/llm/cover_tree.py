@@ -200,7 +200,7 @@ def near_duplicates(
     k = max(1, min(most_cells, n_points // cell))
     sample = points.orderBy(F.xxhash64(F.lit(3), "h1", "h2")).limit(k).select("v").toArrow().column(0).to_pylist()  # at most most_cells
     size = max((len(x) for x in sample), default=0)
-    pivots = np.array([x for x in sample if len(x) == size], np.float64).reshape(-1, size)
+    pivots = np.array([x for x in sample if len(x) == size], np.float64).reshape(-1, max(1, size))
     if len(pivots):
         pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
     shared = spark.sparkContext.broadcast(pivots)

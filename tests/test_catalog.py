@@ -4,6 +4,7 @@ import os
 import duckdb
 import pytest
 
+import palimpsest.plans.detection  # noqa: F401  (registers its queries)
 from palimpsest.plans.catalog import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -252,7 +252,8 @@ def jaccard_components(
        number of rows is cut over many tasks; where a cut runs through a key, the ends are stitched together.
     3. Rough groups are searched by count-vector R-trees. Small ones share tasks of about near_task points. A larger
        one falls apart into pairs of neighbouring size ranges, and what is still larger is cut into blocks; each block, with the group's first point added, is a task. Then points outside their
-       group's largest component meet all blocks of the group, so that no link between components is missed.
+       group's largest component meet, in blocks of their own, each other and all blocks of that component, so that no
+       link between components is missed.
     4. Links found (spanning forests) give the components.
 
     Returns (id, n_shingles, component_id), one row for each row. Empty, null and wordless texts have no shingles and
@@ -348,15 +349,17 @@ def jaccard_components(
         tagged = large.join(label, large.id == label.node, "left").select("id", "comp", "blocks", "at", F.coalesce("component", "id").alias("label"))
         tagged = durable(tagged)
         share = tagged.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("k"))
-        main = share.groupBy("comp").agg(F.max(F.struct("k", "label")).alias("x")).select(F.col("comp").alias("c"), F.col("x.label").alias("main"))
-        tagged = durable(tagged.join(main, F.col("comp") == F.col("c")).drop("c"))
-        apart = tagged.where("label <> main")
-        groups = apart.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("rest")).withColumnRenamed("comp", "c")
-        apart = apart.join(groups, F.col("comp") == F.col("c")).withColumn("g", F.pmod(F.xxhash64(F.lit(1), "id"), F.col("rest")).cast("int"))
-        every = tagged.join(groups, F.col("comp") == F.col("c"))
-        ask = apart.select("id", "comp", "label", "g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), F.lit(0).alias("side"))
-        told = every.select("id", "comp", "label", F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("g"), F.col("at").alias("b"), F.lit(1).alias("side"))
-        second = ask.unionByName(told).select("id", "comp", name("comp", "g", "b").alias("task"), "side", F.col("label").cast("string").alias("label"))
+        main = share.groupBy("comp").agg(F.max(F.struct("k", "label")).alias("x"), F.sum("k").alias("all"))
+        main = main.select(F.col("comp").alias("c"), F.col("x.label").alias("main"), F.ceil(F.col("x.k") / block).cast("int").alias("whole"), F.ceil((F.col("all") - F.col("x.k")) / block).cast("int").alias("rest"))
+        tagged = durable(tagged.join(main.where("rest > 0"), F.col("comp") == F.col("c")).drop("c"))
+        dealt = lambda parts: F.pmod(F.xxhash64(F.lit(1), "id"), F.col(parts)).cast("int")
+        upto = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+        apart = tagged.where("label <> main").withColumn("g", dealt("rest"))
+        # every two blocks of points apart meet once, in the task of both numbers; each meets all blocks of the largest component
+        mutual = apart.withColumn("o", upto("rest")).select("id", "comp", "label", name(F.lit("a"), "comp", F.least("g", "o"), F.greatest("g", "o")).alias("task"), (F.col("g") > F.col("o")).cast("int").alias("side"))
+        ask = apart.withColumn("b", upto("whole")).select("id", "comp", "label", name(F.lit("m"), "comp", "g", "b").alias("task"), F.lit(0).alias("side"))
+        told = tagged.where("label = main").withColumn("b", dealt("whole")).withColumn("g", upto("rest")).select("id", "comp", "label", name(F.lit("m"), "comp", "g", "b").alias("task"), F.lit(1).alias("side"))
+        second = mutual.unionByName(ask).unionByName(told).select("id", "comp", "task", "side", F.col("label").cast("string").alias("label"))
         edges = edges.union(durable(_tasks(second, texts, words, percent)))
     found = components(edges)
 

@@ -32,6 +32,10 @@ def padded(a: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return out, begin, end
 
 
+#: Contexts of at most so many bytes need no test.
+SHORT = 2
+
+
 def held_out(ids, parts: int, part: int) -> np.ndarray:
     """crc32 of the id as text, modulo parts, is part; a null id counts as the empty text."""
     return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % parts == part for i in ids], bool)
@@ -66,46 +70,125 @@ class Tally:
         return k, c
 
 
+def grams(a: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The strings of depth + 1 bytes that end at each byte and at the END of each text, as integers; the text of each."""
+    flat, begin, end = padded(a, depth)
+    code = np.zeros(max(0, len(flat) - depth), np.uint64)
+    for k in range(depth + 1):
+        code = code << np.uint64(8) | flat[k : len(flat) - depth + k]
+    whole = np.ones(len(code), bool)
+    for k in range(1, depth + 1):  # strings that begin in one text and end in the next
+        at = begin[1:] - k
+        whole[at[(at >= 0) & (at < len(code))]] = False
+    return code[whole], np.repeat(np.arange(len(begin)), end - begin - depth)
+
+
 def gather(docs: DataFrame, id_col: str, text_col: str, depth: int, parts: int, part: int) -> DataFrame:
-    """(kind, key, n) over the training texts: kind 0, word hashes; kind 1, byte strings of depth + 1; kind 2, texts.
+    """(kind, key, n, seen): kind 0, word hashes; kind 1, byte strings of depth + 1; kind 2, texts.
 
+    n counts in the training texts, seen for byte strings in all texts: those of the other texts alone have n = 0.
     Every partition counts for itself and hands on sums; Spark adds them up by key.
     """
     small_batches(docs.sparkSession)
+    names = ["kind", "key", "n", "seen"]
 
     def run(batches):
-        words, grams, texts = Tally(), Tally(), 0
+        words, known, other, texts = Tally(), Tally(), Tally(), 0
 
-        def out(kind, tally):
+        def out(kind, tally, trained=True):
             k, c = tally.take()
             for i in range(0, len(k), 1 << 17):
                 m = len(k[i : i + (1 << 17)])
-                yield pa.record_batch([pa.array(np.full(m, kind, np.int8)), pa.array(k[i : i + m].view(np.int64)), pa.array(c[i : i + m])], names=["kind", "key", "n"])
+                n = pa.array(c[i : i + m])
+                yield pa.record_batch([pa.array(np.full(m, kind, np.int8)), pa.array(k[i : i + m].view(np.int64)), n if trained else pa.array(np.zeros(m, np.int64)), n], names=names)
 
         for b in batches:
             train = ~held_out(b.column(0).to_pylist(), parts, part)
             texts += int(train.sum())
-            a = strings(b.column(1).filter(pa.array(train)))
-            for i, j in chunks(a):
-                piece = a.slice(i, j - i)
-                words.add(Words(piece).hash)
-                flat, begin, _ = padded(piece, depth)
-                code = np.zeros(max(0, len(flat) - depth), np.uint64)
-                for k in range(depth + 1):
-                    code = code << np.uint64(8) | flat[k : len(flat) - depth + k]
-                whole = np.ones(len(code), bool)
-                for k in range(1, depth + 1):  # strings that begin in one text and end in the next
-                    at = begin[1:] - k
-                    whole[at[(at >= 0) & (at < len(code))]] = False
-                grams.add(code[whole])
-            for kind, tally in ((0, words), (1, grams)):
+            for rows, tally in ((train, known), (~train, other)):
+                a = strings(b.column(1).filter(pa.array(rows)))
+                for i, j in chunks(a):
+                    piece = a.slice(i, j - i)
+                    if tally is known:
+                        words.add(Words(piece).hash)
+                    tally.add(grams(piece, depth)[0])
+            for kind, tally in ((0, words), (1, known), (1, other)):
                 if tally.full():
-                    yield from out(kind, tally)
+                    yield from out(kind, tally, tally is not other)
         yield from out(0, words)
-        yield from out(1, grams)
-        yield pa.record_batch([pa.array([2], pa.int8()), pa.array([0], pa.int64()), pa.array([texts], pa.int64())], names=["kind", "key", "n"])
+        yield from out(1, known)
+        yield from out(1, other, False)
+        yield pa.record_batch([pa.array([2], pa.int8()), *[pa.array([x], pa.int64()) for x in (0, texts, texts)]], names=names)
+
+    return docs.select(id_col, text_col).mapInArrow(run, "kind byte, key long, n long, seen long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
+
+
+def lengthen(key: np.ndarray, n: np.ndarray, p: np.ndarray, lengths: range, least: int, divergence: float, strength: float = 8.0) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of the last byte of each key by its longer and longer contexts; rows: distinct keys, counts, p by the shorter context.
+
+    Returns the probability by the longest context that occurs at least `least` times, and by the longest one that is
+    kept too. Rows that share a context of the first of `lengths` must come together.
+    """
+    if not len(key):
+        return p, p
+    levels, best = [], p
+    for k in lengths:
+        pair = key & np.uint64((1 << 8 * (k + 1)) - 1)
+        _, first, own = np.unique(pair, return_index=True, return_inverse=True)
+        _, at = np.unique(pair >> np.uint64(8), return_inverse=True)
+        total = np.bincount(at, n)
+        enough, below = total >= least, p
+        if k == 0:
+            p = (np.bincount(own, n)[own] + 1) / (total[at] + 257)
+            levels.append((p, at, np.ones(len(total), bool)))
+            continue
+        p = (np.bincount(own, n)[own] + strength * below) / (total[at] + strength)
+        first = first[np.bincount(own, n) > 0]
+        rest = strength / (total + strength)  # what a byte that never follows keeps of its probability
+        far = np.bincount(at[first], p[first] * np.log(p[first] / below[first]), minlength=len(total))
+        far += np.maximum(0, 1 - np.bincount(at[first], below[first], minlength=len(total))) * rest * np.log(rest)
+        p = np.where(enough[at], p, below)
+        levels.append((p, at, enough & ((far >= divergence) | (k <= SHORT))))
+    closed, longer = [], np.zeros(len(key), bool)
+    for _, at, keep in reversed(levels):  # suffixes of kept contexts are kept
+        longer = (keep | (np.bincount(at, longer, minlength=len(keep)) > 0))[at]
+        closed.append(longer)
+    for (by, _, _), kept in zip(levels, reversed(closed)):
+        best = np.where(kept, by, best)
+    return p, best
+
+
+def predict(counts: DataFrame, depth: int, least: int, divergence: float, block: int = 1 << 19) -> DataFrame:
+    """(key, seen, logp): log10 probability of each gathered byte string's last byte after the bytes before it.
+
+    A context counts when it occurs `least` times in the training texts; it is kept when its distribution diverges from
+    its suffix's by `divergence` nats, when a kept one ends in it, or when it has at most SHORT bytes. The longest kept
+    one speaks, smoothed by its suffixes. The short ones, at most 256^SHORT with at most 257 next bytes each, are
+    sent to all tasks; the longer ones meet by their last SHORT + 1 bytes, about `block` strings in a task.
+    """
+    whole = counts.where("kind = 1").select("key", "n", "seen")
+    mask = (1 << 8 * (min(SHORT, depth) + 1)) - 1
+    few = whole.groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m")).toArrow()
+    key, n = few.column("key").to_numpy().view(np.uint64), few.column("n").to_numpy()
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    shared = counts.sparkSession.sparkContext.broadcast((key, lengthen(key, n, np.zeros(len(key)), range(min(SHORT, depth) + 1), least, divergence)[1]))
+    tasks = -(-int(few.column("m").to_numpy().sum()) // block) or 1
+
+    def run(batches):
+        parts = [b for b in batches if b.num_rows]
+        if parts:
+            t = pa.Table.from_batches(parts)
+            k, n, seen = (t.column(x).to_numpy() for x in ("key", "n", "seen"))
+            k = k.view(np.uint64)
+            pairs, p = shared.value
+            logp = np.log10(lengthen(k, n, p[np.searchsorted(pairs, k & np.uint64(mask))], range(min(SHORT, depth) + 1, depth + 1), least, divergence)[1])
+            for i in range(0, len(k), 1 << 17):
+                j = i + (1 << 17)
+                yield pa.record_batch([pa.array(k[i:j].view(np.int64)), pa.array(seen[i:j]), pa.array(logp[i:j])], names=["key", "seen", "logp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    ends = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << 8 * (SHORT + 1)) - 1))
+    return whole.repartition(tasks, ends).mapInArrow(run, "key long, seen long, logp double")
 
 
 class SuffixTree:
@@ -211,17 +294,16 @@ class SuffixTree:
 
 
 def grow_tree(counts: DataFrame, depth: int, min_share: float = 1e-5, divergence: float = 0.003) -> SuffixTree:
-    """The tree from the gathered byte strings.
+    """A tree in the driver from the gathered byte strings, of contexts that make up min_share of all positions.
 
-    Only contexts that make up min_share of all positions reach the driver, by a sum in Spark for each length; so
-    there are at most 1 / min_share of each length, however large the corpus is.
+    At most 1 / min_share of each length: for small tables. score_texts, which drops no such contexts, uses predict.
     """
-    grams = counts.where("kind = 1").select("key", "n")
-    total = grams.agg(F.sum("n")).first()[0] or 0
+    whole = counts.where("kind = 1 and n > 0").select("key", "n")
+    total = whole.agg(F.sum("n")).first()[0] or 0
     rows = []
     for k in range(depth + 1):
         mask = (1 << 8 * k) - 1
-        pair = grams.select(F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(mask)).alias("c"), F.col("key").bitwiseAND(F.lit(255)).alias("s"), "n").groupBy("c", "s").agg(F.sum("n").alias("n"))
+        pair = whole.select(F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(mask)).alias("c"), F.col("key").bitwiseAND(F.lit(255)).alias("s"), "n").groupBy("c", "s").agg(F.sum("n").alias("n"))
         if k:
             often = pair.groupBy("c").agg(F.sum("n").alias("all")).where(F.col("all") >= max(2.0, min_share * total)).select("c")
             pair = pair.join(often, "c")
@@ -234,6 +316,14 @@ def grow_tree(counts: DataFrame, depth: int, min_share: float = 1e-5, divergence
     return SuffixTree.grow(c, s, n, k, depth, divergence)
 
 
+def common_rows(df: DataFrame, count: str, most: int) -> tuple[int, pa.Table]:
+    """The least power of two that at most `most` rows' counts reach, and these rows."""
+    steps = [1 << k for k in range(0, 40)]
+    seen = df.agg(*[F.count(F.when(F.col(count) >= s, 1)).alias(f"s{s}") for s in steps]).first()
+    least = next(s for s in steps if seen[f"s{s}"] <= most)
+    return least, df.where(F.col(count) >= least).toArrow()
+
+
 def score_texts(
     docs: DataFrame,
     depth: int = 5,
@@ -242,8 +332,9 @@ def score_texts(
     id_col: str = "doc_id",
     text_col: str = "text",
     most_common: int = 1_000_000,
-    min_share: float = 1e-5,
+    min_count: int = 2,
     divergence: float = 0.003,
+    most_strings: int = 1 << 21,
 ) -> DataFrame:
     """Scores every whole text with a unigram base and a probabilistic suffix tree, both learned from a part.
 
@@ -251,7 +342,10 @@ def score_texts(
     the text's words, A-Z lower-cased, and one end, of log10((c + 1) / (N + V + 1)). The counts of the common words
     (at most most_common of them, all over some count) are broadcast; the occurrences of the others, few for each
     word, are joined with the word counts by key. So neither a hot word nor a large vocabulary meets in one task.
-    Score: log10 probability of the text's bytes and its end under the tree.
+    Score: log10 probability of the text's bytes and its end under the tree, which keeps every context of up to depth
+    bytes that occurs min_count times and diverges from its suffix (see predict). It is a table of byte strings with
+    the probability of each one's last byte, and is treated like the words: the common ones are broadcast (at most
+    most_strings), the occurrences of the others are joined.
 
     Returns (id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row. Words are told
     apart by 64-bit hashes. Null and empty texts consist of the end alone. Repeated rows count and return each for
@@ -260,25 +354,43 @@ def score_texts(
     spark = docs.sparkSession
     small_batches(spark)
     counts = durable(gather(docs, id_col, text_col, depth, parts, part))
-    tree = grow_tree(counts, depth, min_share, divergence)
+    model = durable(predict(counts, depth, min_count, divergence))
     words = counts.where("kind = 0").select("key", "n")
-    steps = [1 << k for k in range(0, 40)]
-    seen = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), *[F.count(F.when(F.col("n") >= s, 1)).alias(f"s{s}") for s in steps]).first()
+    seen = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = counts.where("kind = 2").agg(F.sum("n")).first()[0] or 0
     n_train, vocabulary = (seen["n"] or 0) + ends, seen["v"] + (1 if ends else 0)
-    least = next(s for s in steps if seen[f"s{s}"] <= most_common)
-    common = words.where(F.col("n") >= least).toArrow()  # at most most_common rows
-    key, freq = common.column("key").to_numpy().view(np.uint64), common.column("n").to_numpy()
-    order = np.argsort(key)
-    shared = spark.sparkContext.broadcast((tree, key[order], np.log10((freq[order] + 1) / (n_train + vocabulary + 1))))
+
+    def table(rows, logs):
+        key = rows.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(key)
+        return key[order], logs[order]
+
+    least, common = common_rows(words, "n", most_common)
+    word_table = table(common, np.log10((common.column("n").to_numpy() + 1) / (n_train + vocabulary + 1)))
+    least_seen, common = common_rows(model, "seen", most_strings)
+    shared = spark.sparkContext.broadcast((word_table, table(common, common.column("logp").to_numpy())))
     unknown = float(np.log10(1 / (n_train + vocabulary + 1)))
     end_score = float(np.log10((ends + 1) / (n_train + vocabulary + 1)))
     ends_known = int(ends > 0)
     # The row of a text carries a key of its own, so that these rows spread over all tasks like the words.
-    schema = T.StructType([T.StructField("uid", T.LongType()), T.StructField("key", T.LongType()), docs.schema[id_col], *T.StructType.fromDDL("tf long, held_out boolean, n_tokens long, n_known long, base double, score double").fields])
+    schema = T.StructType([*T.StructType.fromDDL("uid long, kind byte, key long").fields, docs.schema[id_col], *T.StructType.fromDDL("tf long, held_out boolean, n_tokens long, n_known long, base double, score double").fields])
+
+    def probe(table, doc, keys, m):
+        """Sums of the known keys' logs and their number for each of m texts; (text, key, times) of the others."""
+        known, logs = table
+        o = np.argsort(keys)
+        doc, keys = doc[o], keys[o]
+        at = np.searchsorted(known, keys)
+        hit = known[np.minimum(at, len(known) - 1)] == keys if len(known) else np.zeros(len(keys), bool)
+        total, number = np.bincount(doc[hit], logs[at[hit]], minlength=m) + 0.0, np.bincount(doc[hit], minlength=m)
+        doc, keys = doc[~hit], keys[~hit]
+        o = np.lexsort((keys, doc))
+        doc, keys = doc[o], keys[o]
+        first = np.flatnonzero(np.diff(doc, prepend=-1).astype(bool) | np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+        return total, number, doc[first], keys[first], np.diff(np.r_[first, len(keys)])
 
     def run(batches):
-        pst, keys, logs = shared.value
+        word_table, string_table = shared.value
         ctx = TaskContext.get()
         row = (ctx.partitionId() if ctx else 0) << 40
         for b in batches:
@@ -288,31 +400,28 @@ def score_texts(
             for i, j in chunks(a):
                 piece = a.slice(i, j - i)
                 w = Words(piece)
-                at = np.searchsorted(keys, w.hash)
-                hit = keys[np.minimum(at, len(keys) - 1)] == w.hash if len(keys) else np.zeros(len(w.hash), bool)
                 m = j - i
-                base = np.bincount(w.doc[hit], logs[at[hit]], minlength=m) + end_score
-                known = np.bincount(w.doc[hit], minlength=m) + ends_known
+                base, known, *rare = probe(word_table, w.doc, w.hash, m)
+                code, doc = grams(piece, depth)
+                score, _, *rare_strings = probe(string_table, doc, code, m)
                 uid = row + np.arange(m)
                 row += m
-                yield pa.record_batch([pa.array(uid), pa.array(mix64(uid).view(np.int64)), b.column(0).slice(i, m), pa.array(np.zeros(m, np.int64)), pa.array(out[i:j]), pa.array(np.diff(w.first) + 1), pa.array(known), pa.array(base), pa.array(pst.score(piece))], names=schema.names)
-                rare_doc, rare = w.doc[~hit], w.hash[~hit]
-                if len(rare):
-                    o = np.lexsort((rare, rare_doc))
-                    rd, rh = rare_doc[o], rare[o]
-                    first = np.flatnonzero(np.r_[True, (np.diff(rd) != 0) | (rh[1:] != rh[:-1])])
-                    k = len(first)
-                    none = lambda t: pa.nulls(k, t)
-                    yield pa.record_batch([pa.array(uid[rd[first]]), pa.array(rh[first].view(np.int64)), none(b.column(0).type), pa.array(np.diff(np.r_[first, len(rh)])), none(pa.bool_()), none(pa.int64()), none(pa.int64()), none(pa.float64()), none(pa.float64())], names=schema.names)
+                yield pa.record_batch([pa.array(uid), pa.array(np.full(m, 2, np.int8)), pa.array(mix64(uid).view(np.int64)), b.column(0).slice(i, m), pa.array(np.zeros(m, np.int64)), pa.array(out[i:j]), pa.array(np.diff(w.first) + 1), pa.array(known + ends_known), pa.array(base + end_score), pa.array(score)], names=schema.names)
+                for kind, (of, key, times) in enumerate((rare, rare_strings)):
+                    for x in range(0, len(key), 1 << 17):
+                        y = min(len(key), x + (1 << 17))
+                        none = lambda t: pa.nulls(y - x, t)
+                        yield pa.record_batch([pa.array(uid[of[x:y]]), pa.array(np.full(y - x, kind, np.int8)), pa.array(key[x:y].view(np.int64)), none(b.column(0).type), pa.array(times[x:y]), none(pa.bool_()), none(pa.int64()), none(pa.int64()), none(pa.float64()), none(pa.float64())], names=schema.names)
 
     rows = docs.select(id_col, text_col).mapInArrow(run, schema)
-    rare = words.where(F.col("n") < least).select("key", "n")
-    joined = rows.join(rare, "key", "left")
-    word = F.col("tf") > 0
-    known = F.when(word & F.col("n").isNotNull(), F.col("tf")).otherwise(F.coalesce("n_known", F.lit(0)))
-    base = F.when(word, F.col("tf") * F.coalesce(F.log10((F.col("n") + 1) / F.lit(float(n_train + vocabulary + 1))), F.lit(unknown))).otherwise(F.col("base"))
-    got = joined.select("uid", F.when(~word, F.struct(F.col(id_col).alias("id"), "held_out", "n_tokens", "score")).alias("row"), known.alias("known"), base.alias("base"))
-    got = got.groupBy("uid").agg(F.first("row", ignorenulls=True).alias("row"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"))
-    return got.select(
-        F.col("row.id").alias(id_col), "row.held_out", "row.n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", F.col("row.score").alias("score")
-    )
+    log = F.log10((F.col("n") + 1) / F.lit(float(n_train + vocabulary + 1)))
+    rare = words.where(F.col("n") < least).select(F.lit(0).cast("byte").alias("kind"), "key", log.alias("log"))
+    rare = rare.unionByName(model.where(F.col("seen") < least_seen).select(F.lit(1).cast("byte").alias("kind"), "key", F.col("logp").alias("log")))
+    joined = rows.join(rare, ["kind", "key"], "left")
+    word, string, text = F.col("kind") == 0, F.col("kind") == 1, F.col("kind") == 2
+    known = F.when(word & F.col("log").isNotNull(), F.col("tf")).when(text, F.col("n_known")).otherwise(0)
+    base = F.when(word, F.col("tf") * F.coalesce("log", F.lit(unknown))).when(text, F.col("base")).otherwise(0.0)
+    score = F.when(string, F.col("tf") * F.col("log")).when(text, F.col("score")).otherwise(0.0)
+    got = joined.select("uid", F.when(text, F.struct(F.col(id_col).alias("id"), "held_out", "n_tokens")).alias("row"), known.alias("known"), base.alias("base"), score.alias("score"))
+    got = got.groupBy("uid").agg(F.first("row", ignorenulls=True).alias("row"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
+    return got.select(F.col("row.id").alias(id_col), "row.held_out", "row.n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")

@@ -193,6 +193,33 @@ def test_suffix_tree_is_a_distribution(docs):
     assert np.allclose(tree.score(a, span=4), tree.score(a, span=1000))
 
 
+@pytest.mark.parametrize("most", [0, 50, 1 << 21])
+def test_suffix_tree_keeps_contexts_of_a_small_source(spark, most):
+    rows = [(i, "ab" * 300_000) for i in range(3)] + [(10 + i, t) for i, t in enumerate(["the cat sat", "the cat sat on the mat", "a cat that sat", "the mat", "the hat", "", "zebra é"])]
+    got = {r.doc_id: r.score for r in suffix_tree.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), most_strings=most).collect()}
+    out = suffix_tree.held_out([i for i, _ in rows], 7, 2)
+    counts: dict = {}
+    for (_, t), o in zip(rows, out):
+        b = bytes([suffix_tree.PAD] * 5) + t.encode() + bytes([suffix_tree.END])
+        for i in range(5, 0 if o else len(b)):
+            for k in range(6):
+                row = counts.setdefault(b[i - k : i], {})
+                row[b[i]] = row.get(b[i], 0) + 1
+    enough = {c for c, r in counts.items() if sum(r.values()) >= 2 or not c}
+    p = {b"": np.array([(counts[b""].get(s, 0) + 1) / (sum(counts[b""].values()) + 257) for s in range(257)])}
+    keep = {b""}
+    for c in sorted(enough - {b""}, key=len):
+        n = np.array([counts[c].get(s, 0) for s in range(257)])
+        p[c] = (n + 8 * p[c[1:]]) / (n.sum() + 8)
+        if len(c) <= 2 or (p[c] * np.log(p[c] / p[c[1:]])).sum() >= 0.003:
+            keep |= {c[k:] for k in range(len(c) + 1)}
+    for i, t in rows[3:]:
+        b = bytes([suffix_tree.PAD] * 5) + t.encode() + bytes([suffix_tree.END])
+        want = sum(np.log10(p[next(b[j - k : j] for k in range(5, -1, -1) if b[j - k : j] in keep)][b[j]]) for j in range(5, len(b)))
+        assert abs(want - got[i]) < 1e-6
+    assert any(out[3:]) and any(len(c) == 5 and b"t" in c for c in keep)
+
+
 def test_pipeline_stage_keeps_one_of_each_group(spark):
     import corpus_pipeline
 

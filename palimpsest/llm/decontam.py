@@ -15,6 +15,10 @@ BOUNDS[:128] = True
 BOUNDS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 #: Words that no item has share this many symbols.
 OTHERS = 1024
+#: Items of so many words or more are found by pieces: few walks as long survive the edits allowed.
+LONG = 128
+#: Cells of the edit distance's table that are held at a time.
+CELLS = 1 << 21
 
 
 def edits_allowed(n: int, similarity: float) -> int:
@@ -22,6 +26,15 @@ def edits_allowed(n: int, similarity: float) -> int:
     return int((1 - similarity) * n + 1e-9)
 
 
+def runs(words: np.ndarray, n: int) -> np.ndarray:
+    """A key for each run of n words."""
+    m = max(0, len(words) - n + 1)
+    key = words[:m]
+    for k in range(1, n):
+        key = mix64(key) + words[k : m + k]
+    return key
+
+
 class Scheme:
     """One repetition for items of a length class: a CGK walk and the sampled steps.
 
@@ -40,7 +53,11 @@ class Scheme:
 
 
 class Index:
-    """The items' symbols and, for each length class and repetition, the sorted LSH keys."""
+    """The items' symbols and, for each length class and repetition, the sorted LSH keys.
+
+    A class whose copies the repetitions do not find with the wanted recall, and every class of LONG words or more, is
+    found by pieces: an item cut into one piece more than the edits allowed has one that no edit touches.
+    """
 
     def __init__(self, ids: list, texts: list[str], similarity: float, recall: float, samples: int = 3, most: int = 24, seed: int = 5):
         w = Words(strings(pa.array(texts, pa.string())), separator=BOUNDS)
@@ -56,15 +73,20 @@ class Index:
         self.count = np.zeros(self.symbols, np.int64)
         for x in self.items:
             np.add.at(self.count, self.symbol(x), 1)
-        self.classes = []
+        self.classes, pieced = [], []
         sizes = np.array([len(x) for x in self.items], np.int64)
         r = np.random.default_rng(seed)
         low = 1
         while len(sizes) and low <= sizes.max():
             own = np.flatnonzero((sizes >= low) & (sizes < 2 * low))
             if len(own):
-                self.classes.append(self._repetitions(own, low, recall, samples, most, r))
+                reps = self._repetitions(own, low, recall, samples, most, r) if low < LONG else None
+                if reps is None:
+                    pieced += own.tolist()
+                else:
+                    self.classes.append(reps)
             low *= 2
+        self.pieces = self._pieces(pieced)
 
     def symbol(self, hashes: np.ndarray) -> np.ndarray:
         v = len(self.vocabulary)
@@ -73,18 +95,23 @@ class Index:
         return np.where(known, at, v + (hashes & np.uint64(OTHERS - 1)).astype(np.int64)).astype(np.int32)
 
     def _repetitions(self, own: np.ndarray, low: int, recall: float, samples: int, most: int, r) -> list:
-        """Adds repetitions until `recall` of items with as many random edits as allowed share a key, or `most` are made."""
-        span = max(1, int(0.6 * low))
+        """Adds repetitions until `recall` of items with as many random edits as allowed share a key; None if `most` do not do.
+
+        Walks start early enough to stay within their item; the copies are followed by other words.
+        """
+        span = int(0.6 * low)
         reps, probes = [], []
         for i in own:
-            for _ in range(max(1, 400 // len(own))):
+            for _ in range(-(-1000 // len(own))):
                 probes.append((i, self.symbol(self._edited(self.items[i], edits_allowed(len(self.items[i]), self.similarity), r))))
         rare = {}
         for i in own:
-            x = self.symbol(self.items[i])[: max(1, int(0.6 * len(self.items[i])))]
+            n = len(self.items[i])
+            x = self.symbol(self.items[i])[: max(1, min(int(0.6 * n), n - span))]
             rare[int(i)] = np.argsort(self.count[x], kind="stable")[:8]
         hit = np.zeros(len(probes), bool)
-        pad = np.full(2 * low + 8, self.symbols - 1, np.int32)
+        recall = min(1.0, recall + 2 * (recall * (1 - recall) / len(probes)) ** 0.5)  # two deviations over, as the probes decide when to stop
+        pad = (self.symbols - 1 - r.integers(0, OTHERS, 2 * low + 8)).astype(np.int32)
         while len(reps) < most and hit.mean() < recall:
             anchors = {i: int(x[len(reps) % len(x)]) for i, x in rare.items()}
             steps = np.unique(np.concatenate([[0], 1 + r.choice(span, min(samples - 1, span), replace=False)]))
@@ -95,7 +122,22 @@ class Index:
                 hit[k] = hit[k] or wanted[int(i)] in self.walk(s, np.concatenate([x, pad]), np.arange(len(x)))
             order = np.argsort(key, kind="stable")
             reps.append((s, key[order], own[order], np.array([anchors[int(i)] for i in own[order]])))
-        return reps
+        return reps if hit.mean() >= recall else None
+
+    def _pieces(self, own: list) -> dict:
+        """For each length of a piece: sorted keys, their items and places in the item."""
+        found: dict = {}
+        for i in own:
+            x = self.items[i]
+            cut = np.arange(edits_allowed(len(x), self.similarity) + 2) * len(x) // (edits_allowed(len(x), self.similarity) + 1)
+            for n in np.unique(np.diff(cut)):
+                at = cut[:-1][np.diff(cut) == n]
+                found.setdefault(int(n), []).append((runs(x, n)[at], np.full(len(at), i), at))
+        for n, parts in found.items():
+            key, item, at = map(np.concatenate, zip(*parts))
+            order = np.argsort(key, kind="stable")
+            found[n] = (key[order], item[order], at[order])
+        return found
 
     def _edited(self, words: np.ndarray, edits: int, r) -> np.ndarray:
         out = list(words)
@@ -149,15 +191,41 @@ class Index:
                 items.append(owner[take])
                 places.append(np.repeat(place, m))
                 starts.append(places[-1] - offset[take])
+        if not items:
+            return (np.zeros(0, np.int64),) * 3
         item, start, place = map(np.concatenate, (items, starts, places))
         _, first = np.unique(np.stack([item, start, place - start]), axis=1, return_index=True) if len(item) else (None, np.zeros(0, int))
         return item[first], start[first], place[first]
 
-    def distance(self, item: int, words: np.ndarray, starts: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Least edit distance between the item and any run of words that lies near each start, within [low, high)."""
+    def rows(self, item: int) -> int:
+        """Windows of the item to be verified at a time."""
+        return max(1, min(4096, CELLS // (2 * len(self.items[item]) + 1)))
+
+    def in_pieces(self, w: Words) -> np.ndarray:
+        """Columns (item, text, stretch) where a piece of the item occurs; stretches of edits + 1 starts are tested at once."""
+        stretch = np.array([edits_allowed(len(x), self.similarity) + 1 for x in self.items], np.int64)
+        out = [np.zeros((3, 0), np.int64)]
+        for n, (keys, owner, offset) in self.pieces.items():
+            key = runs(w.hash, n)
+            a = np.searchsorted(keys, key)
+            place = np.flatnonzero(keys[np.minimum(a, len(keys) - 1)] == key)
+            a, m = a[place], np.searchsorted(keys, key[place], "right") - a[place]
+            ends = np.cumsum(m)
+            p = 0
+            while p < len(place):  # about CELLS pairs at a time, as a repetitive text and item make very many alike
+                q = max(p + 1, int(np.searchsorted(ends, (ends[p - 1] if p else 0) + CELLS, "right")))
+                b, c = m[p:q], a[p:q]
+                take = np.repeat(c - np.cumsum(b) + b, b) + np.arange(b.sum())
+                at = np.repeat(place[p:q], b)
+                out.append(np.unique(np.stack([owner[take], w.doc[at], (at - offset[take]) // stretch[owner[take]]]), axis=1))
+                p = q
+        return np.unique(np.concatenate(out, 1), axis=1)
+
+    def distance(self, item: int, words: np.ndarray, starts: np.ndarray, low: np.ndarray, high: np.ndarray, more: int = 0) -> np.ndarray:
+        """Least edit distance between the item and any run of words that lies near each start or the `more` after it, within [low, high)."""
         pattern = self.items[item]
         k = edits_allowed(len(pattern), self.similarity)
-        width = len(pattern) + 3 * k + 1
+        width = len(pattern) + 3 * k + 1 + more
         pos = starts[:, None] - k + np.arange(width)[None, :]
         inside = (pos >= low[:, None]) & (pos < high[:, None])
         text = np.where(inside, words[np.clip(pos, 0, len(words) - 1)], 0)
@@ -188,13 +256,23 @@ def find(index: Index, a: pa.Array) -> list[dict]:
         edges = np.flatnonzero(np.diff(item, prepend=-1))
         for p, q in zip(edges, [*edges[1:], len(item)]):
             t, most = int(item[p]), edits_allowed(len(index.items[int(item[p])]), index.similarity)
-            for x in range(p, q, 4096):
-                s = start[x : min(q, x + 4096)]
+            for x in range(p, q, rows := index.rows(t)):
+                s = start[x : min(q, x + rows)]
                 doc = w.doc[place[x : x + len(s)]]
                 d = index.distance(t, w.hash, s, w.first[doc], w.first[doc + 1])
                 for k in np.flatnonzero(d <= most):
                     got = out[i + int(doc[k])]
                     got[t] = min(int(d[k]), got.get(t, 1 << 30))
+        item, doc, stretch = index.in_pieces(w)
+        edges = np.flatnonzero(np.diff(item, prepend=-1))
+        for p, q in zip(edges, [*edges[1:], len(item)]):
+            t, most = int(item[p]), edits_allowed(len(index.items[int(item[p])]), index.similarity)
+            for x in range(p, q, rows := index.rows(t)):
+                y = min(q, x + rows)
+                d = index.distance(t, w.hash, stretch[x:y] * (most + 1), w.first[doc[x:y]], w.first[doc[x:y] + 1], most)
+                for k in np.flatnonzero(d <= most):
+                    got = out[i + int(doc[x + k])]
+                    got[t] = min(int(d[k]), got.get(t, 1 << 30))
     return out
 
 
@@ -217,7 +295,8 @@ def decontaminate(
 
     Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased. A window starts at every word of every
     text. Repetitions of CGK walk and bit sampling are added until, on copies of the items with as many random edits
-    as allowed, the target recall is reached; exact copies always share all keys. Candidates are verified by the
+    as allowed, the target recall is reached; exact copies always share all keys. Where it is not, and for items of
+    LONG words or more, the candidates share a piece that no edit touches, so none is missed. All are verified by the
     exact edit distance, so what is found is right. Items of less than 1 / (1 - similarity) words must match exactly.
 
     Returns (id, n_items, item_ids, min_edits, contaminated), or with keep all columns before these; item_ids are

@@ -125,6 +125,35 @@ def test_decontamination(spark, docs, none):
     assert decontam.decontaminate(docs, bench).where("contaminated").count() == 0 and decontam.decontaminate(none, bench, keep=True).count() == 0
 
 
+def test_decontamination_finds_edited_copies_of_any_length():
+    r = np.random.default_rng(3)
+    sizes = [1] * 12 + [2, 3, 4, 5, 7, 12, 20, 40, 100, 130, 243, 256, 300] + [512, 700, 1024, 1500, 2000]
+    items = [[f"w{x}" for x in r.integers(0, 5000, n)] for n in sizes]
+    index = decontam.Index(list(range(len(items))), [" ".join(x) for x in items], 0.8, 0.99)
+    lost = tried = 0
+    for i, x in enumerate(items):
+        for _ in range(2 if len(x) > 500 else 8):
+            y = list(x)
+            for _ in range(decontam.edits_allowed(len(x), 0.8)):
+                at, kind = int(r.integers(len(y))), int(r.integers(3))
+                y[at : at + (kind < 2)] = [f"v{r.integers(99)}"] * (kind != 1)
+            words = [f"u{k}" for k in r.integers(0, 99, 9)] + y + [f"u{k}" for k in r.integers(0, 99, 9)]
+            found = decontam.find(index, text.strings(pa.array(["x", " ".join(words), ""])))
+            row = np.zeros(len(words) + 1, int)  # the least distance to any run of words
+            number: dict = {}
+            code = np.array([number.setdefault(c, len(number)) for c in words])
+            for k, c in enumerate(x):
+                new = np.r_[k + 1, np.minimum(row[:-1] + (code != number.get(c, -1)), row[1:] + 1)]
+                row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+            assert found[0] == found[2] == {} and found[1].get(i, row.min()) == row.min()
+            lost += i not in found[1]
+            tried += 1
+            assert i in found[1] or 4 < len(x) < decontam.LONG  # exact words, and pieces, lose nothing
+    assert lost <= 0.03 * tried
+    same = decontam.Index([0], ["a " * 600], 0.8, 0.99)
+    assert decontam.find(same, text.strings(pa.array(["a " * 3000, "a " * 400])))  == [{0: 0}, {}]
+
+
 def test_ngram_join(spark, docs, none):
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs).collect()}
     assert got == {(1, 9, 1), (5, 9, 1), (2, 0, 2), (3, 0, 3), (4, 3, 4), (6, 0, 6), (7, 1, 7), (None, 1, None)}

@@ -1,6 +1,7 @@
 import base64
 import gzip
 import re
+import zlib
 from urllib.parse import quote
 
 import numpy as np
@@ -102,6 +103,37 @@ def test_secrets_in_layers(wrap):
     assert any(k == "assign" for *_, k in base + added) and all(4 <= a < b <= len(s) - 4 for a, b, _ in base + added)
 
 
+def lines(s, n):
+    return "\n".join(s[i : i + n] for i in range(0, len(s), n))
+
+
+@pytest.mark.parametrize("payload", [
+    gzip.compress(b"a" * (17 << 20) + b" " + SECRET.encode()), gzip.compress(b"nothing here") + gzip.compress(SECRET.encode()), gzip.compress(b"x") + gzip.compress(gzip.compress(SECRET.encode())),
+    b"\x01 " + SECRET.encode(), b"\xff\xfe " + SECRET.encode() + b" \x00", gzip.compress(b"\x00\xff " + SECRET.encode()), b"fifty bytes of text before the one that matters: " + SECRET.encode(),
+    gzip.compress(np.random.default_rng(0).bytes(3000) + SECRET.encode()), zlib.compress(b"x^ " + SECRET.encode()),
+])
+@pytest.mark.parametrize("width", [64, 76, 1 << 30])
+@pytest.mark.parametrize("before", ["see ", "a line of words\n", "word\n"])
+def test_secrets_in_layers_that_are_large_broken_or_wrapped(payload, width, before):
+    s = before + lines(base64.b64encode(payload).decode(), width) + "\nend"
+    base, added, _ = secrets.scan(s)
+    assert not base and [k for *_, k in added if k == "assign"] == ["assign"] and all(0 <= a < b <= len(s) for a, b, _ in added)
+
+
+def test_secrets_in_many_layers():
+    many = single = SECRET.encode()
+    for _ in range(1000):
+        single = zlib.compress(single)
+    for _ in range(90):
+        many = gzip.compress(b"x") + gzip.compress(many)
+    for data in (single, many, gzip.compress(b"x") + gzip.compress(b"y" * 1000)[:20]):
+        assert [k for *_, k in secrets.scan("see " + base64.b64encode(data).decode())[1] if k == "assign"] == ["assign"] * (data in (single, many))
+
+
+def test_secrets_in_invalid_url_escapes():
+    assert [k for *_, k in secrets.scan("%ff%00" + "".join(f"%{b:02x}" for b in SECRET.encode()))[1] if k == "assign"] == ["assign"]
+
+
 def test_secrets_edges(docs, none):
     assert {r.spans for r in secrets.scan_secrets(docs).collect()} == {""} and secrets.scan_secrets(none).count() == 0
 

@@ -70,6 +70,8 @@ TYPES = [
     ("BANK_ACCOUNT", "HIGH", 15), ("TAX_ID", "HIGH", 16), ("IFSC", "MEDIUM", 20), ("GST", "MEDIUM", 21), ("UPI", "MEDIUM", 22), ("ADDRESS", "HIGH", 25), ("PERSON", "HIGH", 30),
     ("SIGNATURE", "HIGH", 40), ("FACE_PHOTO", "HIGH", 41), ("SENSITIVE_SCREENSHOT", "HIGH", 42),
 ]
+#: Values that the policy lets through.
+POLICY_ALLOWED = [r"\bINC-\d{4}-\d{1,6}\b", r"\bRSK-\d{1,6}\b", r"\bGRP-POL-\d{1,6}\b", r"\bCTL-IAM-\d{1,6}\b"]
 RISKS = ["NONE", "LOW", "MEDIUM", "HIGH", "CRITICAL"]
 #: tier, types, least confidence, action when sure, action when not
 POLICY = [

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .catalog import POLICY, RISKS, TYPES
+from .catalog import POLICY, POLICY_ALLOWED, RISKS, TYPES
 
 
 def lookup(pairs, key: Column, default) -> Column:
@@ -88,7 +88,10 @@ def dedupe(e: DataFrame) -> DataFrame:
 
 
 def decide(e: DataFrame) -> DataFrame:
-    """Adds risk and action: the tier's action at its least confidence, else its uncertainty action; unknown: HIGH, REDACT."""
+    """Adds risk and action: the tier's action at its least confidence, else its uncertainty action; unknown: HIGH, REDACT.
+
+    An entity whose whole value, trimmed, is on the allow-list is allowed.
+    """
     tier = [(t, k) for k, (_, types, *_) in enumerate(POLICY) for t in types]
     n = lookup(tier, F.col("entity_type"), -1)
     conf = F.coalesce(F.nanvl("confidence", F.lit(0.0)), F.lit(0.0))
@@ -96,6 +99,8 @@ def decide(e: DataFrame) -> DataFrame:
     action = F.lit("REDACT")
     for k, (_, _, least, sure, unsure) in enumerate(POLICY):
         action = F.when((n == k) & (conf >= least), sure).when(n == k, unsure).otherwise(action)
+    if "value" in e.columns:
+        action = F.when(F.col("value").rlike(rf"\A\s*(?:{'|'.join(POLICY_ALLOWED)})\s*\z"), "ALLOW").otherwise(action)
     return e.withColumn("risk_level", risk_name(rank)).withColumn("action", action)
 
 
@@ -119,9 +124,22 @@ def islands(e: DataFrame) -> DataFrame:
     return runs.groupBy("doc_id", "block_id", "island").agg(F.min("text_start").alias("text_start"), F.max("text_end").alias("text_end"), F.max_by("entity_type", first).alias("entity_type"))
 
 
+def _to_redact(blocks: DataFrame, e: DataFrame) -> DataFrame:
+    """The entities that are not allowed; fits: whether the block has the span."""
+    wanted = e.where("coalesce(action, '') <> 'ALLOW'") if "action" in e.columns else e
+    sizes = blocks.select("doc_id", "block_id", F.length(F.coalesce("text", F.lit(""))).alias("_size"))
+    fits = F.coalesce((F.col("text_start") >= 0) & (F.col("text_start") < F.col("text_end")) & (F.col("text_end") <= F.col("_size")), F.lit(False))
+    return wanted.join(sizes, ["doc_id", "block_id"], "left").withColumn("fits", fits).drop("_size")
+
+
+def unapplied(blocks: DataFrame, e: DataFrame) -> DataFrame:
+    """(doc_id, block_id, seq) of the entities that redact cannot apply: without offsets, or with ones outside the block."""
+    return _to_redact(blocks, e).where(~F.col("fits")).select("doc_id", "block_id", "seq")
+
+
 def redact(blocks: DataFrame, e: DataFrame, mode: str = "token") -> DataFrame:
     """(doc_id, block_id, text) with the spans replaced: mode token, `[REDACTED_type]`, or block, a bar of the same length."""
-    spans = islands(e.where("coalesce(action, '') <> 'ALLOW'") if "action" in e.columns else e)
+    spans = islands(_to_redact(blocks, e).where("fits"))
     g = spans.groupBy("doc_id", "block_id").agg(F.array_sort(F.collect_list(F.struct("text_start", "text_end", "entity_type"))).alias("spans"))
     j = blocks.select("doc_id", "block_id", "text").join(g, ["doc_id", "block_id"], "left")
     label = (lambda s: F.concat(F.lit("[REDACTED_"), s["entity_type"], F.lit("]"))) if mode == "token" else (lambda s: F.rpad(F.lit(""), s["text_end"] - s["text_start"], "█"))
@@ -140,21 +158,35 @@ def pseudonyms(e: DataFrame) -> DataFrame:
     return rows.withColumn("token", F.concat(F.lit("["), F.col("entity_type"), F.lit("_"), n, F.lit("]"))).drop("seen")
 
 
-def gate(docs: DataFrame) -> DataFrame:
-    """Reasons against release, in fixed order, from one row of facts for each document; any reason blocks."""
+def gate(docs: DataFrame, ceiling: str = "NONE", block_injections: bool = True, block_unicode: bool = False, require_integrity: bool = False) -> DataFrame:
+    """Reasons against release, in fixed order, from one row of facts for each document; any reason blocks.
+
+    Facts that docs may leave out: unresolved_risk, the worst of the entities neither redacted nor allowed;
+    finding_risk, the worst of the findings (CRITICAL where it is null); n_redaction_errors; n_unicode, anomalies;
+    integrity_ok, null where the file was not checked; residual_risk. Risks count when they are over the ceiling; an
+    unknown one counts as CRITICAL.
+    """
+    fact = lambda c, kind: F.col(c) if c in docs.columns else F.lit(None).cast(kind)
+    level = lambda c: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, RISKS)), F.upper(c)), F.lit(0)) - 1, F.lit(len(RISKS) - 1))
+    over = lambda c: level(c) > RISKS.index(ceiling)
+    unresolved, intact, residual = fact("unresolved_risk", "string"), fact("integrity_ok", "boolean"), fact("residual_risk", "string")
     f = lambda c: F.coalesce(F.col(c), F.lit(False))
     conf = F.coalesce(F.nanvl("ocr_confidence", F.lit(0.0)), F.lit(0.0))
     reasons = F.array(
         F.when(f("pipeline_error"), "PIPELINE_ERROR"),
         F.when(F.col("document_action").isNull(), "POLICY_NOT_APPLIED").when(F.col("document_action") == "BLOCK", "POLICY_BLOCK"),
-        F.when(F.col("n_unapplied") > 0, "REDACTION_INCOMPLETE"),
+        F.when(unresolved.isNotNull() & over(unresolved), F.when(level(unresolved) == len(RISKS) - 1, "CRITICAL_PII_PRESENT").otherwise("UNREDACTED_PII_PRESENT")),
+        F.when((F.col("n_unapplied") > 0) | (fact("n_redaction_errors", "int") > 0), "REDACTION_INCOMPLETE"),
         F.when(F.col("n_findings").isNull(), "VERIFICATION_MISSING"),
-        F.when(F.col("n_findings") > 0, "RESIDUAL_LEAK_DETECTED"),
+        F.when((F.col("n_findings") > 0) & over(fact("finding_risk", "string")), "RESIDUAL_LEAK_DETECTED"),
         F.when(f("uncertain"), "VERIFIER_UNCERTAIN"),
         F.when(conf <= 0.60, "LOW_CONFIDENCE_UNCERTAINTY"),
-        F.when(F.col("n_injections") > 0, "PROMPT_INJECTION_DETECTED"),
+        F.when(F.lit(block_injections) & (F.col("n_injections") > 0), "PROMPT_INJECTION_DETECTED"),
+        F.when(F.lit(block_unicode) & (fact("n_unicode", "int") > 0), "UNICODE_ANOMALY_DETECTED"),
+        F.when(~intact, "INTEGRITY_CHECK_FAILED").when(F.lit(require_integrity) & intact.isNull(), "INTEGRITY_CHECK_MISSING"),
     )
     out = docs.withColumn("r", F.filter(reasons, lambda x: x.isNotNull()))
+    out = out.withColumn("r", F.when((F.size("r") == 0) & residual.isNotNull() & over(residual), F.array(F.lit("RESIDUAL_RISK_EXCEEDED"))).otherwise(F.col("r")))
     return out.select("doc_id", F.when(F.size("r") > 0, "BLOCK").otherwise("PASS").alias("decision"), F.when(F.size("r") > 0, F.get("r", F.lit(0))).otherwise("DOCUMENT_SANITIZED_AND_VERIFIED").alias("status"), F.array_join("r", ",").alias("reasons"))
 
 

@@ -37,6 +37,22 @@ def match(found: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFrame:
     return g.select("doc_id", F.explode(taken).alias("m")).select("doc_id", F.col("m.a").alias("found_seq"), F.col("m.b").alias("truth_seq"))
 
 
+def ablation(found: DataFrame, truth: DataFrame, categories: dict[str, list[str]]) -> DataFrame:
+    """(config, category, total, caught, recall) for each configuration that found names; category null: all entities.
+
+    A true entity is caught when it, or one of its document, type and value, is matched. Types in no category count in the total alone.
+    """
+    key = F.struct("config", "doc_id")
+    true = F.broadcast(found.select("config").distinct()).crossJoin(truth).withColumn("doc_id", key)
+    pairs = match(found.withColumn("doc_id", key), true).select("doc_id", F.col("truth_seq").alias("seq"), F.lit(1).alias("hit"))
+    alike = ["doc_id", "entity_type", "value"]
+    hits = true.join(pairs, ["doc_id", "seq"]).select(*alike, "hit").distinct()
+    category = F.coalesce(*[F.when(F.col("entity_type").isin(types), name) for name, types in categories.items()], F.lit("other"))
+    rows = true.join(hits, alike, "left").withColumn("category", category)
+    g = rows.groupingSets([["config", "category"], ["config"]], "config", "category").agg(F.count(F.lit(1)).alias("total"), F.count("hit").alias("caught"))
+    return g.where("category is null or category <> 'other'").withColumn("recall", F.col("caught") / F.col("total"))
+
+
 def utility(cases: DataFrame) -> DataFrame:
     """(domain, retention, leaks, cases): mean share of expected concepts that the sanitized text keeps, and leaked values.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import checks, masking
 from palimpsest.operators import catalog as C
 from palimpsest.operators import entities as E
+from palimpsest.operators import evaluation
 from palimpsest.operators import spans as S
 
 
@@ -261,6 +262,43 @@ def g1_gate(spark, sf_dir):
     return E.gate(spark.sql(_fixture("doc_id, pipeline_error, document_action, n_unapplied, n_findings, uncertain, ocr_confidence, n_injections", GATE)))
 
 
+FACTS = "doc_id, pipeline_error, document_action, n_unapplied, n_findings, uncertain, ocr_confidence, n_injections, unresolved_risk, finding_risk, n_redaction_errors, n_unicode, integrity_ok, residual_risk"
+CLEAN = (False, "REDACT", 0, 0, False, 0.95, 0)
+
+
+@query(_fixture("doc_id, decision, status, reasons", [
+    (1, "PASS", OK, ""), *[(k, "BLOCK", r, r) for k, r in enumerate(("CRITICAL_PII_PRESENT", "UNREDACTED_PII_PRESENT", "REDACTION_INCOMPLETE", "UNICODE_ANOMALY_DETECTED", "INTEGRITY_CHECK_FAILED", "INTEGRITY_CHECK_MISSING", "RESIDUAL_RISK_EXCEEDED"), 2)],
+    (9, "BLOCK", "CRITICAL_PII_PRESENT", "CRITICAL_PII_PRESENT,RESIDUAL_LEAK_DETECTED,UNICODE_ANOMALY_DETECTED,INTEGRITY_CHECK_FAILED"), (10, "PASS", OK, ""),
+]))
+def g1_gate_facts(spark, sf_dir):
+    rows = [
+        (1, *CLEAN, None, None, 0, 0, True, None), (2, *CLEAN, "CRITICAL", None, 0, 0, True, None), (3, *CLEAN, "LOW", None, 0, 0, True, None), (4, *CLEAN, None, None, 1, 0, True, None), (5, *CLEAN, None, None, 0, 2, True, None), (6, *CLEAN, None, None, 0, 0, False, None),
+        (7, *CLEAN, None, None, 0, 0, None, None), (8, *CLEAN, None, None, 0, 0, True, "LOW"), (9, False, "REDACT", 0, 1, False, 0.95, 0, "CRITICAL", "HIGH", 0, 1, False, "HIGH"), (10, False, "REDACT", 0, 1, False, 0.95, 0, "NONE", "NONE", None, None, True, "NONE"),
+    ]
+    return E.gate(spark.sql(_fixture(FACTS, rows)), block_unicode=True, require_integrity=True)
+
+
+@query(_fixture("seq, action", [(0, "ALLOW"), (1, "ALLOW"), (2, "BLOCK"), (3, "REDACT"), (4, "BLOCK")]))
+def p2_allow_list(spark, sf_dir):
+    rows = [(0, "SSN", "INC-2026-219457", 0.1), (1, "PHONE", " RSK-12 ", 0.9), (2, "SSN", "see INC-2026-2194", 0.1), (3, "PHONE", "RSK-1234567", 0.9), (4, "SSN", None, 0.1)]
+    return E.decide(spark.sql(_fixture("seq, entity_type, value, confidence", rows))).select("seq", "action")
+
+
+@query(_fixture("seq", [(1,), (2,), (3,), (4,), (6,)]))
+def t1_unapplied(spark, sf_dir):
+    blocks = spark.sql(_fixture("doc_id, block_id, text", [(1, "b", "mail a@b.com")]))
+    rows = [(1, "b", 0, 5, 12, "REDACT"), (1, "b", 1, 5, 13, "REDACT"), (1, "b", 2, -1, 3, "REDACT"), (1, "b", 3, 4, 4, "BLOCK"), (1, "b", 4, None, 3, None), (1, "b", 5, 5, 99, "ALLOW"), (1, "c", 6, 0, 3, "REDACT")]
+    return E.unapplied(blocks, spark.sql(_fixture("doc_id, block_id, seq, text_start, text_end, action", rows))).select("seq")
+
+
+@query(_fixture("config, category, total, caught, recall", [("full", "ids", 2, 2, 1.0), ("full", "names", 1, 1, 1.0), ("full", None, 4, 3, 0.75), ("regex", "ids", 2, 1, 0.5), ("regex", "names", 1, 0, 0.0), ("regex", None, 4, 1, 0.25)]))
+def e6_ablation(spark, sf_dir):
+    columns = "config, doc_id, seq, page, entity_type, value, text_start, text_end"
+    true = [("", 1, 0, 1, "SSN", "1", 0, 5), ("", 1, 1, 1, "PERSON", "Ann", 9, 12), ("", 2, 0, 1, "PAN", "2", 0, 5), ("", 2, 1, 1, "UPI", "3", 8, 9)]
+    found = [("regex", 1, 0, 1, "SSN", "1", 0, 5), ("full", 1, 0, 1, "SSN", "1", 0, 5), ("full", 1, 1, 1, "PERSON", "Ann", 9, 12), ("full", 2, 0, 1, "PAN", "2", 0, 5), ("full", 2, 1, 1, "PAN", "9", 20, 25)]
+    return evaluation.ablation(spark.sql(_fixture(columns, found)), spark.sql(_fixture(columns, true)).drop("config"), {"ids": ["SSN", "PAN"], "names": ["PERSON"]})
+
+
 def _records(spark, sf_dir):
     return _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), F.concat(F.col("role"), F.lit(":"), F.sha2(F.coalesce("text", F.lit("")), 256)).alias("body"))
 

@@ -40,13 +40,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Returns a row for each copy the mix takes; a copy taken in part has the text's first words."""
+    """Returns a row for each copy the mix takes, its text whole: one of which it takes half or more stays, one of less goes."""
     mixed = mixing.mix(docs, WEIGHTS, 1.5, 2.0, SHARDS, keep=True)
     out = mixed.select("*", F.explode("draws").alias("draw"))
-    words = F.regexp_count("text", F.lit(WORD))
-    pieces = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), 0)
-    text = F.when(F.col("draw.words") >= words, F.col("text")).otherwise(F.array_join(F.slice(pieces, 1, F.col("draw.words").cast("int")), ""))
-    return out.withColumn("text", text).withColumn("n_chars", F.when(F.col("draw.words") >= words, F.col("n_chars")).otherwise(F.length(text).cast("long"))).select(*docs.columns)
+    return out.where(2 * F.col("draw.words") >= F.regexp_count("text", F.lit(WORD))).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -287,3 +287,15 @@ def test_pipeline_stage_keeps_one_of_each_group(spark):
     d = spark.createDataFrame([(1, "a b c d e f g", "en", "s", 13), (2, "a b c d e f g", "en", "s", 13), (2, "a b c d e f g", "en", "s", 13), (3, "other", "en", "s", 5), (None, "x", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.drop_near_duplicates(spark, d, "")
     assert got.columns == d.columns and sorted(r.doc_id or 0 for r in got.collect()) == [0, 1, 3]
+
+
+def test_pipeline_mixes_whole_texts(spark):
+    import corpus_pipeline
+
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(3 + 37 * (i % 5) ** 2)), "en", "abc"[i % 3], i) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got, mixed = corpus_pipeline.mix_sources(spark, d, "").collect(), mixing.mix(d, corpus_pipeline.WEIGHTS, 1.5, 2.0, corpus_pipeline.SHARDS).toPandas()
+    assert {tuple(r) for r in got} <= set(rows) and ((mixed.taken % mixed["size"]) > 0).any()
+    for source, g in mixed.groupby("source"):
+        words = sum(len(r.text.split()) for r in got if r.source == source)
+        assert abs(words - g.taken.sum()) <= g["size"].max() / 2

@@ -19,18 +19,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates (five-word shingles, Jaccard 0.8).
+    """Keeps the row with the smallest id of each group of near duplicates (five-word shingles, Jaccard 0.8).
 
-    Rows without an id, and texts without words, stay. Of rows that repeat a kept id one stays.
+    Rows are told apart by a 64-bit hash of id and text, so unrelated texts under one id, or under none, are judged
+    each for itself; a row without an id stays only where its group has none with one. Of rows alike in id and text
+    one stays. Texts without words all stay.
     """
-    found = ngram_join.jaccard_components(docs, words=5, percent=80)
-    kept = durable(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies")))
-    ids = F.broadcast(kept) if kept.count() <= BROADCAST_IDS else kept
-    out = docs.join(ids.select("doc_id"), "doc_id", "left_semi")
+    has_words = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    live = docs.where(has_words).withColumn("_key", F.xxhash64("doc_id", "text"))
+    found = ngram_join.jaccard_components(live, words=5, percent=80, id_col="_key").groupBy("_key").agg(F.min("component_id").alias("component"))
+    rows = live.groupBy("_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).join(found, "_key")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key", "copies"))
+    kept = durable(rows.groupBy("component").agg(least.alias("x")).select("x._key", "x.copies"))
+    keys = F.broadcast(kept) if kept.count() <= BROADCAST_IDS else kept
+    out = live.join(keys.select("_key"), "_key", "left_semi")
     if kept.where("copies > 1").limit(1).count():
-        again = kept.where("copies > 1").select("doc_id")
-        out = out.join(again, "doc_id", "left_anti").unionByName(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return out.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+        again = kept.where("copies > 1").select("_key")
+        out = out.join(again, "_key", "left_anti").unionByName(out.join(again, "_key", "left_semi").dropDuplicates(["_key"]))
+    return out.select(*docs.columns).unionByName(docs.where(~has_words))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -299,3 +299,13 @@ def test_pipeline_mixes_whole_texts(spark):
     for source, g in mixed.groupby("source"):
         words = sum(len(r.text.split()) for r in got if r.source == source)
         assert abs(words - g.taken.sum()) <= g["size"].max() / 2
+
+
+def test_pipeline_stage_compares_rows_not_ids(spark):
+    import corpus_pipeline
+
+    a, b, c = ("a b c d e f g", "one two three four five six seven", "only here are these eight words to find")
+    rows = [(1, a), (1, b), (1, b), (2, a), (3, b), (None, a), (None, c), (None, c), (4, None), (4, None), (None, " "), (None, " ")]
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, d, "").collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (1, b), (None, c), (4, None), (4, None), (None, " "), (None, " ")], key=str)

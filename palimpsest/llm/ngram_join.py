@@ -1,7 +1,6 @@
 """N-gram Jaccard join with count-vector R-trees."""
 
 import math
-from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -10,91 +9,114 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import components, durable, small_batches
+from .suffix_tree import Tally, common_rows
 from .text import Words, chunks, mix64, strings
 
 _K = np.uint64(0xD6E8FEB86659FD93)
 
 
-def shingle_sets(a: pa.Array, words: int) -> list[np.ndarray]:
-    """Each text's distinct shingle hashes, ascending; a text of fewer words is one shingle, one without words none."""
+def shingle_runs(a: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(text, hash) of each shingle as it occurs, by text; a text of fewer words is one shingle; and the number of texts."""
     w = Words(a)
-    n = len(w.hash)
-    out = []
-    if n >= words:
-        h = np.full(n - words + 1, words, np.uint64)
+    size = np.diff(w.first)
+    doc, out = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    m = len(w.hash) - words + 1
+    if m > 0:
+        h = np.full(m, words, np.uint64)
         for k in range(words):
-            h = mix64(h * _K + w.hash[k : n - words + 1 + k])
-    for i in range(w.n_docs):
-        p, q = int(w.first[i]), int(w.first[i + 1])
-        if q - p >= words:
-            out.append(np.unique(h[p : q - words + 1]))
-        elif q > p:
-            x = np.array([q - p], np.uint64)
-            for k in range(p, q):
-                x = mix64(x * _K + w.hash[k])
-            out.append(x)
-        else:
-            out.append(np.zeros(0, np.uint64))
-    return out
+            h = mix64(h * _K + w.hash[k : m + k])
+        inside = w.doc[:m] == w.doc[words - 1 :]
+        doc.append(w.doc[:m][inside])
+        out.append(h[inside])
+    for n in range(1, words):
+        own = np.flatnonzero(size == n)
+        x = np.full(len(own), n, np.uint64)
+        for k in range(n):
+            x = mix64(x * _K + w.hash[w.first[own] + k])
+        doc.append(own)
+        out.append(x)
+    return np.concatenate(doc), np.concatenate(out), w.n_docs
+
+
+def flat_sets(a: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' distinct shingle hashes, ascending in each text, and where each text's begin; texts without words have none."""
+    doc, h, n = shingle_runs(a, words)
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
+    return h[new], np.searchsorted(doc[new], np.arange(n + 1))
+
+
+def shingle_sets(a: pa.Array, words: int) -> list[np.ndarray]:
+    """Each text's distinct shingle hashes, ascending."""
+    h, first = flat_sets(a, words)
+    return [h[i:j] for i, j in zip(first[:-1], first[1:])]
+
+
+def set_hashes(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set, and one of both; 0 for empty ones."""
+    full = np.flatnonzero(np.diff(first))
+    out = np.zeros((3, len(first) - 1), np.uint64)
+    if len(full):
+        out[0, full] = np.bitwise_xor.reduceat(mix64(h + np.uint64(1)), first[full])
+        out[1, full] = np.add.reduceat(mix64(h + np.uint64(2)), first[full])
+        out[2, full] = mix64(out[0, full] * _K + out[1, full])
+    return out[0], out[1], out[2]
+
+
+def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending keys, told by their differences, and counts; byte by byte, so that the zeros stand together."""
+    planes = np.stack([np.diff(keys, prepend=np.uint64(0)), counts.astype(np.uint64)]).view(np.uint8).reshape(-1, 8).T
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-class Bands:
-    """Keys by which any two linked sets meet.
+def unpack(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(pa.decompress(blob, 16 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, -1)
+    both = np.ascontiguousarray(planes.T).reshape(-1).view(np.uint64)
+    return np.cumsum(both[:n], dtype=np.uint64), both[n:].astype(np.int64)
 
-    Two sets with Jaccard similarity t or more differ in at most r = (1-t)/(1+t) * (|A|+|B|) shingles. Shingles are
-    hashed into p bands; a differing shingle changes one band. So if a set has more than r bands of `least` or more
-    shingles, one of these bands is the same in both. A key is the hash of such a band's contents. p is fixed for a
-    range of sizes, sizes in reach of the next lower range use both, and a set with too few full bands adds levels
-    with more and emptier bands until it has enough: of two sets, the one that needs fewer levels is the guarantee.
+
+def common_shingles(docs: DataFrame, text_col: str, words: int, total: int, least: int) -> tuple[DataFrame, int]:
+    """(key, n) of the shingles that occur `least` times or more in all texts, and the shift that makes a key of a hash.
+
+    A key is the upper bits of the hash, six more than tell `total` shingles apart, so that few share one. Every
+    partition counts for itself and hands on sorted runs of keys, packed, for each range of keys; a range's runs, about
+    2 million keys, are summed in one task. A frequent shingle is one entry of each run.
     """
+    bits = min(63, max(16, int(total).bit_length() + 6))
+    shift = np.uint64(64 - bits)
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // (1 << 21)), 1)
+    width = np.uint64(-(-(1 << bits) // ranges))
 
-    def __init__(self, percent: int):
-        self.t = Fraction(percent, 100)
-        # the fewest keys for each threshold: wide size ranges cost keys at their lower ends, narrow ones at overlaps
-        self.step, self.least = (1.5, 3) if percent >= 83 else (2.0, 2)
-        self.ratio = math.log(self.step)
-
-    def differ(self, n: int) -> int:
-        """The most shingles in which a set of n can differ from a linked one."""
-        t = self.t
-        return math.floor((1 - t) / (1 + t) * (n + n / t)) if t < 1 else 0
-
-    def levels(self, cls: int):
-        """(bands, least) of a size class, level after level."""
-        top = self.step ** (cls + 1)
-        r = self.differ(math.ceil(top))
-        p = max(1, math.ceil((r + 1) * 1.5))
-        least = self.least if top >= 40 else min(2, self.least) if top >= 12 else 1
-        while True:
-            yield p, least
-            p, least = 2 * p, max(1, least - 1)
-
-    def classes(self, n: int) -> list[int]:
-        """The size ranges in which a set of n meets others: its own, and that of its smallest partner."""
-        own = math.floor(math.log(n) / self.ratio + 1e-9)
-        low = math.floor(math.log(max(1, math.ceil(n * self.t))) / self.ratio + 1e-9)
-        return list(range(low, own + 1))
-
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        n = len(s)
-        if not n:
-            return np.zeros(0, np.int64)
-        need = self.differ(n) + 1
-        out = []
-        for cls in self.classes(n):
-            for level, (p, least) in enumerate(self.levels(cls)):
-                salt = np.uint64((cls << 8 | level) + 1)
-                h = mix64(s ^ mix64(np.array([salt]))[0])
-                band = ((h >> np.uint64(32)) * np.uint64(p) >> np.uint64(32)).astype(np.int64)
-                count = np.bincount(band, minlength=p)
-                full = np.flatnonzero(count >= least)
-                low = np.bincount(band, (h & np.uint64(0xFFFFFFF)).astype(np.float64), minlength=p)[full].astype(np.uint64)
-                inner = mix64(h)
-                high = np.bincount(band, (inner >> np.uint64(36)).astype(np.float64), minlength=p)[full].astype(np.uint64)
-                out.append(mix64(mix64(low * _K + high) * _K + full.astype(np.uint64) * np.uint64(4096) + salt))
-                if len(full) >= need:
-                    break
-        return np.concatenate(out).view(np.int64)
+    def run(batches):
+        tally = Tally(1 << 22)
+
+        def out():
+            keys, n = tally.take()
+            part = (keys // width).astype(np.int64)
+            at = np.flatnonzero(np.diff(part, prepend=-1))
+            to = np.append(at[1:], len(part)) if len(at) else at
+            return pa.record_batch([pa.array(part[at].astype(np.int32)), pa.array((to - at).astype(np.int32)), pa.array([pack(keys[i:j], n[i:j]) for i, j in zip(at, to)], pa.binary())], names=["part", "n", "run"])
+
+        for b in batches:
+            a = strings(b.column(0))
+            for i, j in chunks(a):
+                tally.add(shingle_runs(a.slice(i, j - i), words)[1] >> shift)
+                if tally.full():
+                    yield out()
+        if tally.size:
+            yield out()
+
+    def add(table):
+        tally = Tally()
+        for n, blob in zip(table.column("n").to_pylist(), table.column("run")):
+            tally.parts.append(unpack(blob.as_py(), n))
+        keys, n = tally.take()
+        often = n >= least
+        return pa.table({"key": pa.array(keys[often].view(np.int64)), "n": pa.array(n[often])})
+
+    return docs.select(text_col).mapInArrow(run, "part int, n int, run binary").groupBy("part").applyInArrow(add, "key long, n long"), int(shift)
 
 
 class RTree:
@@ -241,92 +263,170 @@ def _tasks(members: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return rows.groupBy("task").applyInArrow(solve, f"a {id_type}, b {id_type}")
 
 
+def prefixes(h: np.ndarray, first: np.ndarray, often: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, shingle, 2 n + 1, or 2 n in an anchor) of the shingles by which linked sets meet.
+
+    All sets are ordered in one way: by how often a shingle occurs, then by its hash. Two sets whose first common
+    shingle stands at places i of n and j of m share at most min(n - i, m - j); linked they share percent / 100 of the
+    larger at least, so that shingle is in the prefix of both, and no less than 2 t / (1 + t) of the smaller, in
+    which it is an anchor.
+    """
+    size = np.diff(first)
+    doc = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((h, often, doc))
+    left = size[doc] - (np.arange(len(h)) - first[doc])
+    n = size[doc]
+    keep = 100 * left >= percent * n
+    anchor = (100 + percent) * left >= 2 * percent * n
+    return doc[keep], h[order][keep], (2 * n + ~anchor)[keep]
+
+
+def size_range(percent: int) -> float:
+    """The width of a range of sizes, in logarithms: linked sets are in one range or in neighbouring ones."""
+    return math.log(100 / percent) * 1.001 + 1e-9
+
+
+def chain(batches, percent: int):
+    """Edges between sets that share a key; batches: (key, na, node), sorted; a row with a key is an end of the partition.
+
+    A set is tied to the first anchor of its key and range of sizes, and that one, like a set that stands before it, to
+    the last anchor before, if their sizes allow a link. What links by this key is thereby connected, as the smaller
+    of the two is an anchor. The first row counts as one, as its key may go on.
+    """
+    width = size_range(percent)
+    held: list = []  # the first anchor of the range, and the last one: key, size, node
+    first = last = None
+    for b in batches:
+        key, na, node = (b.column(k).to_numpy() for k in range(3))
+        if not len(key):
+            continue
+        n, anchor = na >> 1, na & 1 == 0
+        if first is None:
+            first = int(key[0]), int(node[0])
+            anchor[0] = True
+        if held:
+            k, m, x = zip(*held)
+            key, n, node, anchor = np.r_[k, key], np.r_[m, n], np.r_[x, node], np.r_[[True] * len(held), anchor]
+        row = np.arange(len(key))
+        kind = np.floor(np.log(n) / width)
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])
+        start = np.maximum.accumulate(np.where(new, row, 0))
+        ahead = np.minimum.accumulate(np.where(anchor, row, len(row))[::-1])[::-1][start]  # the first anchor from the range's start on
+        back = np.r_[-1, np.maximum.accumulate(np.where(anchor, row, -1))[:-1]]
+        to = np.where(ahead < row, ahead, back)
+        ok = (to >= 0) & (key[to] == key) & (node[to] != node) & (100 * n[to] >= percent * n)
+        last = int(key[-1])
+        held = [(int(key[i]), int(n[i]), int(node[i])) for i in dict.fromkeys((int(ahead[-1]), int(np.flatnonzero(anchor)[-1]))) if i < len(row)] if anchor.any() else []
+        yield pa.record_batch([pa.array(node[to[ok]]), pa.array(node[ok]), pa.nulls(int(ok.sum()), pa.int64())], names=["a", "b", "key"])
+    if first is not None:
+        ends = [first] + [(k, x) for k, _, x in held[-1:] if k == last]
+        yield pa.record_batch([pa.array([x for _, x in ends]), pa.nulls(len(ends), pa.int64()), pa.array([k for k, _ in ends])], names=["a", "b", "key"])
+
+
 def jaccard_components(
-    docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block: int = 512, near_task: int = 1024, broadcast_rows: int = 1_000_000
+    docs: DataFrame,
+    words: int = 4,
+    percent: int = 85,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    block: int = 512,
+    near_task: int = 1024,
+    broadcast_rows: int = 1_000_000,
+    most_common: int = 1_000_000,
 ) -> DataFrame:
     """Components of documents under links 100 * |A and B| >= percent * |A or B| between their shingle sets, exact.
 
     1. Texts with the same set (128-bit hash of it) are one point, the smallest id standing for all.
-    2. Points that share a band key (see Bands; linked ones always do) form rough groups, found over all keys at
-       once: rows are range-partitioned by (key, id) and neighbours of equal key are chained, so that a key of any
-       number of rows is cut over many tasks; where a cut runs through a key, the ends are stitched together.
-    3. Rough groups are searched by count-vector R-trees. Small ones share tasks of about near_task points. A larger
-       one falls apart into pairs of neighbouring size ranges, and what is still larger is cut into blocks; each block, with the group's first point added, is a task. Then points outside their
-       group's largest component meet, in blocks of their own, each other and all blocks of that component, so that no
-       link between components is missed.
-    4. Links found (spanning forests) give the components.
+    2. How often each shingle occurs is counted over all texts. A point's keys are its rarest shingles (see prefixes;
+       linked points always share one that is an anchor of the smaller), so that a passage that many texts share
+       brings no two of them together unless it is nearly all there is of them. The order needs the frequent shingles
+       only: the most_common most frequent of those that occur four times or more are sent to all tasks.
+    3. Points that share a key, of which one is an anchor, form rough groups, found over all keys at once: rows are
+       range-partitioned by (key, size, point) and tied to their neighbours (see chain), so that a key of any number
+       of rows is cut over many tasks; where a cut runs through a key, the ends are stitched together.
+    4. Rough groups are searched by count-vector R-trees. Small ones share tasks of about near_task points. A larger
+       one falls apart into pairs of neighbouring size ranges, and what is still larger is cut into blocks; each block,
+       with the group's first point added, is a task. Then points outside their group's largest component meet, in
+       blocks of their own, each other and all blocks of that component, so that no link between components is missed.
+    5. Links found (spanning forests) give the components.
 
     Returns (id, n_shingles, component_id), one row for each row. Empty, null and wordless texts have no shingles and
     link with nothing. Rows with a null id are counted but link with nothing (null component). Rows that repeat an id
     are taken for one document if their texts agree; if not, all that links to one of them is joined. An empty table
-    gives none; other columns are ignored.
+    gives none; other columns are ignored. percent: 1 to 100.
     """
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
     spark = docs.sparkSession
     small_batches(spark)
-    bands = Bands(percent)
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T.StructType.fromDDL("n long, h1 long, h2 long, keys array<long>").fields])
+    id_field = T.StructField("id", docs.schema[id_col].dataType)
+    schema = T.StructType([id_field, *T.StructType.fromDDL("n long, h1 long, h2 long, point long").fields])
 
-    def run(batches):
+    def describe(batches):
         for b in batches:
             a = strings(b.column(1))
             for i, j in chunks(a):
-                sets = shingle_sets(a.slice(i, j - i), words)
-                n = np.array([len(s) for s in sets], np.int64)
-                h1 = np.array([np.bitwise_xor.reduce(mix64(s + np.uint64(1))) if len(s) else 0 for s in sets], np.uint64)
-                h2 = np.array([np.add.reduce(mix64(s + np.uint64(2))) if len(s) else 0 for s in sets], np.uint64)
-                keys = [bands.keys(s) for s in sets]
-                off = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-                yield pa.record_batch(
-                    [b.column(0).slice(i, j - i), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(keys)))],
-                    names=["id", "n", "h1", "h2", "keys"],
-                )
-
-    features = durable(docs.select(id_col, text_col).mapInArrow(run, schema))
+                h, first = flat_sets(a.slice(i, j - i), words)
+                yield pa.record_batch([b.column(0).slice(i, j - i), pa.array(np.diff(first)), *[pa.array(x.view(np.int64)) for x in set_hashes(h, first)]], names=schema.names)
+
+    features = durable(docs.select(id_col, text_col).mapInArrow(describe, schema))
     live = features.where("n > 0 and id is not null")
-    reps = live.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
-    points = durable(reps.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n"), F.min("n").alias("least_n")))
+    reps = durable(live.groupBy("h1", "h2", "point").agg(F.min("id").alias("rep"), F.max("n").alias("n")))
+
+    # keys
+    total = features.agg(F.sum("n")).first()[0] or 0
+    counts, shift = common_shingles(docs, text_col, words, total, 4)
+    _, often = common_rows(durable(counts), "n", most_common)
+    known = often.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(known)
+    shared = spark.sparkContext.broadcast((known[order], often.column("n").to_numpy()[order]))
+
+    def key_rows(batches):
+        known, times = shared.value
+        seen: set = set()  # points whose keys this task has given already
+        for b in batches:
+            a = strings(b.column(0))
+            for i, j in chunks(a):
+                h, first = flat_sets(a.slice(i, j - i), words)
+                point = set_hashes(h, first)[2]
+                new = np.zeros(len(point), bool)
+                for k, x in enumerate(point.tolist()):
+                    new[k] = x not in seen
+                    seen.add(x)
+                if len(seen) > 1 << 20:
+                    seen.clear()
+                at = np.searchsorted(known, h >> np.uint64(shift))
+                got = np.zeros(len(h), np.int64)
+                if len(known):
+                    at = np.minimum(at, len(known) - 1)
+                    got = np.where(known[at] == h >> np.uint64(shift), times[at], 0)
+                doc, key, na = prefixes(h, first, got, percent)
+                own = new[doc]
+                yield pa.record_batch([pa.array(key[own].view(np.int64)), pa.array(na[own]), pa.array(point[doc[own]].view(np.int64))], names=["key", "na", "node"])
 
     # rough groups
-    few = F.broadcast(points.select("id")) if points.count() <= broadcast_rows else points.select("id")
-    keyed = live.join(few, "id", "left_semi").select("id", F.explode("keys").alias("key"))
     n_parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    id_type = features.schema["id"].dataType.simpleString()
-
-    def chain(batches):
-        last_key = last_id = None
-        first = None
-        for b in batches:
-            key, ids = b.column(0).to_numpy(), b.column(1)
-            if not len(key):
-                continue
-            same = np.flatnonzero(key[1:] == key[:-1])
-            x, y = ids.take(pa.array(same)), ids.take(pa.array(same + 1))
-            if last_key is not None and key[0] == last_key:
-                x = pa.concat_arrays([x, pa.array([last_id], ids.type)])
-                y = pa.concat_arrays([y, ids.slice(0, 1)])
-            if first is None:
-                first = (int(key[0]), ids[0].as_py())
-            last_key, last_id = int(key[-1]), ids[len(key) - 1].as_py()
-            yield pa.record_batch([x, y, pa.nulls(len(x), pa.int64())], names=["a", "b", "key"])
-        if first is not None:  # the partition's ends
-            yield pa.record_batch([pa.array([first[1], last_id], x.type), pa.nulls(2, x.type), pa.array([first[0], last_key], pa.int64())], names=["a", "b", "key"])
-
-    pairs = keyed.select("key", "id").repartitionByRange(n_parts, "key", "id").sortWithinPartitions("key", "id").mapInArrow(chain, f"a {id_type}, b {id_type}, key long")
+    # range boundaries come from a sample of the rows: the rows are written, so that they are made once
+    keyed = durable(docs.where(F.col(id_col).isNotNull()).select(text_col).mapInArrow(key_rows, "key long, na long, node long"))
+    pairs = keyed.repartitionByRange(n_parts, "key", "na", "node").sortWithinPartitions("key", "na", "node")
+    pairs = pairs.mapInArrow(lambda batches: chain(batches, percent), "a long, b long, key long")
     pairs = durable(pairs.where("key is not null or a <> b").distinct())
     ends = pairs.where("key is not null")  # two for each partition
     stitched = ends.groupBy("key").agg(F.min("a").alias("b")).join(ends.select("key", "a"), "key").select("a", "b").where("a <> b")
     rough = durable(components(pairs.where("key is null").select("a", "b").union(stitched)))
 
     # R-trees over the rough groups
-    sizes = rough.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    sized = rough.join(sizes, "component").join(points, F.col("node") == F.col("id")).select("id", F.xxhash64("component").alias("comp"), "m", "n", "least_n")
+    members = rough.join(reps, F.col("node") == F.col("point")).groupBy("component", F.col("rep").alias("id")).agg(F.max("n").alias("n"), F.min("n").alias("least_n"))
+    members = durable(members.withColumnRenamed("component", "comp"))
+    sizes = durable(members.groupBy("comp").agg(F.count(F.lit(1)).alias("m")))
+    sized = members.join(sizes, "comp")
     # linked sets are in the same or in neighbouring size ranges: large groups fall apart into pairs of ranges
-    span = math.log(100 / percent) * 1.001 + 1e-9
+    span = size_range(percent)
     at = lambda c: F.floor(F.log(c) / span).cast("int")
     ranges = F.explode(F.sequence(at("least_n"), at("n") + 1)).alias("range")
-    pieces = sized.where(F.col("m") > block).select("id", "comp", ranges).select("id", F.xxhash64("comp", "range").alias("comp"))
-    pieces = durable(pieces)
-    piece_sizes = pieces.groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("head"))
+    pieces = durable(sized.where(F.col("m") > block).select("id", "comp", ranges).select("id", F.xxhash64("comp", "range").alias("comp")))
+    piece_sizes = durable(pieces.groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("head")))
     pieces = pieces.join(piece_sizes, "comp")
     sized = sized.where(F.col("m") <= block).select("id", "comp", "m", F.col("id").alias("head")).unionByName(pieces.select("id", "comp", "m", "head"))
     sized = durable(sized)
@@ -345,13 +445,14 @@ def jaccard_components(
     first = near.union(within).select("id", "comp", "task", F.lit(0).alias("side"), F.col("id").cast("string").alias("label"))
     edges = durable(_tasks(first, texts, words, percent))
     if large.limit(1).count():
-        label = components(edges)
+        label = durable(components(edges))
         tagged = large.join(label, large.id == label.node, "left").select("id", "comp", "blocks", "at", F.coalesce("component", "id").alias("label"))
         tagged = durable(tagged)
         share = tagged.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("k"))
         main = share.groupBy("comp").agg(F.max(F.struct("k", "label")).alias("x"), F.sum("k").alias("all"))
         main = main.select(F.col("comp").alias("c"), F.col("x.label").alias("main"), F.ceil(F.col("x.k") / block).cast("int").alias("whole"), F.ceil((F.col("all") - F.col("x.k")) / block).cast("int").alias("rest"))
-        tagged = durable(tagged.join(main.where("rest > 0"), F.col("comp") == F.col("c")).drop("c"))
+        main = durable(main.where("rest > 0"))
+        tagged = durable(tagged.join(main, F.col("comp") == F.col("c")).drop("c"))
         dealt = lambda parts: F.pmod(F.xxhash64(F.lit(1), "id"), F.col(parts)).cast("int")
         upto = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
         apart = tagged.where("label <> main").withColumn("g", dealt("rest"))
@@ -361,11 +462,11 @@ def jaccard_components(
         told = tagged.where("label = main").withColumn("b", dealt("whole")).withColumn("g", upto("rest")).select("id", "comp", "label", name(F.lit("m"), "comp", "g", "b").alias("task"), F.lit(1).alias("side"))
         second = mutual.unionByName(ask).unionByName(told).select("id", "comp", "task", "side", F.col("label").cast("string").alias("label"))
         edges = edges.union(durable(_tasks(second, texts, words, percent)))
-    found = components(edges)
+    found = durable(components(edges))
 
     label = reps.join(found, reps.rep == found.node, "left").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.coalesce("component", "rep").alias("component_id"))
     own = F.col("n") > 0
     lone = F.xxhash64(F.lit(9), "id")  # texts without shingles don't meet in one task
-    keyed = features.select("id", "n", F.when(own, F.col("h1")).otherwise(lone).alias("h1"), "h2")
-    out = keyed.join(label, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")
+    marked = features.select("id", "n", F.when(own, F.col("h1")).otherwise(lone).alias("h1"), "h2")
+    out = marked.join(label, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import named, plain, small_batches
 from .text import SEPARATOR, Words, chunks, mix64, strings
 
 #: Words end at ASCII marks as well as at whitespace.
@@ -304,12 +304,12 @@ def decontaminate(
     block_bytes they make one broadcast index; more are dealt into blocks by a hash of the text, of which each makes
     its own index and pass, and the passes' findings are merged by row. Null or empty texts and items hold nothing;
     an item with a null id appears as 'null'. Repeated rows, and null ids, pass through; an empty table gives none.
-    With keep, columns of the same names as the new ones are replaced.
+    With keep, columns of the same names as the new ones are replaced; others may have any.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    new = T.StructType.fromDDL(FOUND)
-    base = docs.drop(*[c for c in docs.columns if c.lower() in {f.name for f in new.fields}]) if keep else docs.select(id_col, text_col)
+    docs = docs if keep else docs.select(id_col, text_col)
+    base, (text,) = plain(docs, text_col)
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("t"))
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
@@ -317,13 +317,14 @@ def decontaminate(
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k).toArrow()  # about block_bytes
         index = Index([x if x is not None else "null" for x in part.column(0).to_pylist()], part.column(1).to_pylist(), similarity, recall)
-        marked = _pass(marked, spark.sparkContext.broadcast(index), text_col, f"_found{k}")
+        marked = _pass(marked, spark.sparkContext.broadcast(index), text, f"_found{k}")
     names = [f"_found{k}" for k in range(blocks)]
     every = F.array_sort(F.flatten(F.array(*[F.col(c) for c in names])))
     marked = marked.withColumn("_all", every).drop(*names)
     marked = marked.withColumn("n_items", F.size("_all")).withColumn("item_ids", F.array_join(F.transform("_all", lambda x: x["id"]), ","))
-    marked = marked.withColumn("min_edits", F.array_min(F.transform("_all", lambda x: x["edits"]))).withColumn("contaminated", F.col("n_items") > 0).drop("_all")
-    return marked if keep else marked.drop(text_col)
+    marked = marked.withColumn("min_edits", F.array_min(F.transform("_all", lambda x: x["edits"]))).withColumn("contaminated", F.col("n_items") > 0)
+    out = named(marked, docs, [f.name for f in T.StructType.fromDDL(FOUND).fields])
+    return out if keep else out.drop(text_col)
 
 
 def _pass(df: DataFrame, shared, text_col: str, name: str) -> DataFrame:

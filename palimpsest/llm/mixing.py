@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, durable
+from .common import WORD, bounded, durable, named, plain
 
 
 def targets(sources: DataFrame, weights: list[float], share: float, ceiling: float) -> DataFrame:
@@ -104,28 +104,31 @@ def mix(
     them in part, so that the words taken equal the rounded target. The splitting tree divides the blocks among
     the shards; in a shard the rows are ordered by a hash (`position`).
 
-    What a row gives follows from its hash and a table of (source, block), `blocks` rows for each source. Up to
-    broadcast_rows that table is broadcast, so that texts are not moved; a larger one is joined by its key.
+    What a row gives follows from its hash and a table of (source, block), `blocks` rows for each source. That table
+    and others of a row or a few for each source are counted: up to broadcast_rows they are broadcast, so that texts
+    are not moved; larger ones are joined by their key. The block that is taken in part is cut at one of 4096 ranges of
+    its hash, so that one task orders only that range of it.
 
     Returns (id, source, size, source_size, target, taken, draws), or with keep all columns and taken and draws;
     draws is an array of (shard, position, words), one for each copy the mix takes; sum of words = taken. A row is
     never taken over `ceiling` times its size. Size counts words. Null text: size 0, never taken. Null sources form
     one source, the last. Rows alike in id, text and source share one fate (at the cut, each gives an equal part,
-    rounded down). Empty table: no rows. A source without words has target 0. Other columns are ignored; with keep,
-    those of the new names are replaced. The result depends on the rows and the seed only.
+    rounded down). Empty table: no rows. A source without words has target 0. Other columns are ignored, whatever
+    their names; with keep, those of the new names are replaced. The result depends on the rows and the seed only.
     """
-    names = ["_source", "_size", "_tie", "_block"]
-    base = docs.drop("taken", "draws") if keep else docs.select(id_col, text_col, source_col)
+    base, (key, text, origin) = plain(docs, id_col, text_col, source_col)
     rows = base.select(
         "*",
-        F.col(source_col).cast("string").alias("_source"),
-        F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("_size"),
-        F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col), F.col(source_col)).alias("_tie"),
+        F.col(origin).cast("string").alias("_source"),
+        F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("_size"),
+        F.xxhash64(F.lit(seed), F.col(key), F.col(text), F.col(origin)).alias("_tie"),
     ).withColumn("_block", F.pmod(F.col("_tie"), F.lit(blocks)).cast("int"))
-    narrow = durable(rows.select(id_col, source_col, *names) if not keep else rows.select(*names))
+    own = ["_source", "_size", "_tie", "_block"]
+    narrow = durable(rows.select(*own) if keep else rows.select(F.col(key).alias("_id"), *own))
     by_block = narrow.select(F.col("_source").alias("source"), F.col("_block").alias("block"), F.col("_size").alias("size"))
     by_block = durable(by_block.groupBy("source", "block").agg(F.sum("size").alias("words")))
-    goal = targets(by_block.groupBy("source").agg(F.sum("words").alias("words")), list(weights), share, ceiling)
+    goal = durable(targets(by_block.groupBy("source").agg(F.sum("words").alias("words")), list(weights), share, ceiling))
+    small = lambda df: bounded(df, broadcast_rows)
     # (source, block): at most `blocks` rows for each source
     permuted = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 1), "source", "block"), "block")
     upto = F.sum("words").over(permuted.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -133,7 +136,7 @@ def mix(
         by_block.withColumn("nth", F.row_number().over(permuted) - 1)
         .withColumn("upto", upto)
         .withColumn("n_blocks", F.count(F.lit(1)).over(Window.partitionBy("source")))
-        .join(F.broadcast(goal.select(F.col("source").alias("s"), F.col("words").alias("source_size"), "target")), F.col("source").eqNullSafe(F.col("s")))
+        .join(small(goal.select(F.col("source").alias("s"), F.col("words").alias("source_size"), "target")), F.col("source").eqNullSafe(F.col("s")))
         .drop("s")
     )
     goal_words = F.least(F.round("target"), F.floor(F.col("source_size") * F.lit(float(ceiling)))).cast("long")
@@ -145,7 +148,7 @@ def mix(
     used = laid.groupBy("source").agg(F.sum(F.col("passes") + F.when(F.col("last") > 0, 1).otherwise(0)).alias("quota"))
     tree = splitting_tree(used, shards, seed)
     spans = tree.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("skip", "quota", "shard"))).alias("cuts"))
-    spans = spans.select(F.col("source").alias("s"), "cuts")
+    spans = durable(spans.select(F.col("source").alias("s"), "cuts"))
     where = lambda seq: F.get(F.filter("cuts", lambda c: (c["skip"] <= seq) & (seq < c["skip"] + c["quota"])), F.lit(0))["shard"]
     # the blocks' draws are numbered pass by pass in permuted order; the last pass holds the first blocks only
     draws = F.transform(
@@ -153,26 +156,30 @@ def mix(
         lambda p: F.struct(p.alias("copy"), where(p * F.col("n_blocks") + F.col("nth")).alias("shard"), F.when(p < F.col("passes"), F.col("words")).otherwise(F.col("last")).alias("words")),
     )
     # in the block that gives only some of its words, rows give all up to a hash, a part at it, nothing beyond
-    some = laid.where("last > 0 and last < words").select(F.col("source").alias("s"), F.col("block").alias("b"), "last")
-    same = narrow.join(F.broadcast(some), F.col("_source").eqNullSafe(F.col("s")) & (F.col("_block") == F.col("b")))
-    same = same.groupBy("s", "_tie", "last").agg(F.sum("_size").alias("words"), F.count(F.lit(1)).alias("alike"))
+    some = durable(laid.where("last > 0 and last < words").select(F.col("source").alias("s"), F.col("block").alias("b"), "last"))
+    reach = F.shiftright(F.col("_tie"), 52).cast("int")  # ranges of the hash, in its order
+    same = narrow.withColumn("_reach", reach).join(small(some), F.col("_source").eqNullSafe(F.col("s")) & (F.col("_block") == F.col("b")))
+    parts = same.groupBy("s", "last", "_reach").agg(F.sum("_size").alias("words"))
+    upto = F.sum("words").over(Window.partitionBy("s").orderBy("_reach").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    at = parts.withColumn("before", upto - F.col("words")).where("before < last and last <= before + words")
+    at = durable(at.select(F.col("s").alias("s2"), F.col("_reach").alias("reach"), "before"))
+    same = same.join(small(at), F.col("s").eqNullSafe(F.col("s2")) & (F.col("_reach") == F.col("reach")))
+    same = same.groupBy("s", "_tie", "last", "before").agg(F.sum("_size").alias("words"), F.count(F.lit(1)).alias("alike"))
     upto = F.sum("words").over(Window.partitionBy("s").orderBy("_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cuts = same.withColumn("before", upto - F.col("words")).where("before < last and last <= before + words")
-    cuts = cuts.select("s", F.col("_tie").alias("cut"), F.floor((F.col("last") - F.col("before")) / F.col("alike")).alias("part"))
-    dealt = laid.join(F.broadcast(spans), F.col("source").eqNullSafe(F.col("s"))).drop("s").join(F.broadcast(cuts), F.col("source").eqNullSafe(F.col("s")), "left")
+    cuts = same.withColumn("before", F.col("before") + upto - F.col("words")).where("before < last and last <= before + words")
+    cuts = durable(cuts.select("s", F.col("_tie").alias("cut"), F.floor((F.col("last") - F.col("before")) / F.col("alike")).alias("part")))
+    dealt = laid.join(small(spans), F.col("source").eqNullSafe(F.col("s"))).drop("s").join(small(cuts), F.col("source").eqNullSafe(F.col("s")), "left")
     dealt = dealt.select(
         F.col("source").alias("s"), F.col("block").alias("b"), "source_size", "target", "cut", "part",
         F.filter(draws, lambda d: d["words"] > 0).alias("block_draws"), F.col("words").alias("block_words"),
     )
-    dealt = durable(dealt)
-    if dealt.count() <= broadcast_rows:
-        dealt = F.broadcast(dealt)
+    dealt = small(durable(dealt))
     out = (rows if keep else narrow).join(dealt, F.col("_source").eqNullSafe(F.col("s")) & (F.col("_block") == F.col("b")))
     given = lambda d: F.when((d["words"] == F.col("block_words")) | (F.col("_tie") < F.col("cut")), F.col("_size")).when(F.col("_tie") == F.col("cut"), F.least("part", "_size")).otherwise(0)
-    own = F.transform("block_draws", lambda d: F.struct(
+    each = F.transform("block_draws", lambda d: F.struct(
         d["shard"].alias("shard"), F.xxhash64(F.lit(seed + 2), "_tie", d["copy"]).alias("position"), given(d).cast("long").alias("words")
     ))
-    out = out.withColumn("draws", F.filter(own, lambda d: d["words"] > 0)).withColumn("taken", F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]))
+    out = out.withColumn("draws", F.filter(each, lambda d: d["words"] > 0)).withColumn("taken", F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]))
     if keep:
-        return out.select(*base.columns, "taken", "draws")
-    return out.select(id_col, source_col, F.col("_size").alias("size"), "source_size", "target", "taken", "draws")
+        return named(out, docs, ["taken", "draws"])
+    return out.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), F.col("_size").alias("size"), "source_size", "target", "taken", "draws")

@@ -1,5 +1,7 @@
 """The registered queries of the operators, with production parameters, and their SQL where SQL can say it."""
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,16 +12,24 @@ MAX_TRAINING_ROWS = 3000
 GRADES = 4
 WEIGHTS = [3.0, 1.0, 2.0]
 SHARDS = 16
+LISTED_HOSTS = 200_000
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
+@functools.cache
+def tagger() -> pii.Tagger:
+    """The tagger of op1, which depends on nothing but its code: trained once in a session."""
+    return pii.train(pii.training_spans())
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find_pii(table(spark, sf_dir, "documents"), pii.train(pii.training_spans()))
+    return pii.find_pii(table(spark, sf_dir, "documents"), tagger())
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS, 1.5, 2.0, SHARDS)
-    return got.select("doc_id", "size", "source_size", "target", "taken", F.size("draws").alias("copies"))
+    each = lambda f: F.array_join(F.transform("draws", lambda d: d[f].cast("string")), ",")
+    return got.select("doc_id", "size", "source_size", "target", "taken", F.size("draws").alias("copies"), each("shard").alias("shards"), each("position").alias("positions"))
 
 
 def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,12 +43,12 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.OrdinalModel:
     """Fits on at most MAX_TRAINING_ROWS labelled rows; the rows weigh as their class does among all labels."""
-    texts, toxic = toxicity.training_sample(docs, labels, MAX_TRAINING_ROWS)
+    sample = toxicity.training_sample(docs, labels, MAX_TRAINING_ROWS)
+    toxic = sample.label
     share = labels.where("toxic in (0, 1)").agg(F.avg("toxic")).first()[0] or 0.0
     own = toxic.mean() if len(toxic) else 0.5
     weight = toxic * (share / max(own, 1e-9)) + (1 - toxic) * ((1 - share) / max(1 - own, 1e-9))
-    grades = toxicity.severities(texts, toxic, GRADES, 18)
-    return toxicity.OrdinalModel.fit(texts, grades, n_grades=GRADES, weight=weight)
+    return toxicity.OrdinalModel.fit(sample, toxicity.severities(sample, GRADES), n_grades=GRADES, weight=weight)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +64,15 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
 
 
+def blocked_hosts(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    """The hosts of the pages, without www, m and blog before them, that call themselves spam, and LISTED_HOSTS made by rule."""
+    seen = pages.select(F.regexp_extract(F.lower("url"), r"^[^:]*://(?:(?:www|m|blog)\.)*(spam[^/?#]*)", 1).alias("host")).where("host <> ''")
+    return seen.unionByName(spark.range(LISTED_HOSTS).select(F.format_string("ads%06d.invalid", "id").alias("host"))).distinct()
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES)
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge_urls(pages, RULES, blocked_hosts(spark, pages))
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +88,19 @@ QUERIES = {f.__name__: f for f in (op1_pii, op2_mix, op3_shard, op4_decontaminat
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE = {
+    "op3_shard": """
+WITH RECURSIVE rest AS (
+  SELECT i, i AS r, 0 AS k FROM range(256) x(i) UNION ALL SELECT i, CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, k + 1 FROM rest WHERE k < 8),
+t AS (SELECT list(r ORDER BY i) AS t FROM rest WHERE k = 8),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+z AS (
+  SELECT doc_id, strlen(text) + 1 AS size,
+    xor(4294967295, list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(text), '..'), lambda x: ('0x' || x)::BIGINT)), lambda a, b: xor(a >> 8, t[1 + xor(a & 255, b)]))) AS crc
+  FROM d, t),
+a AS (SELECT *, sum(size) OVER (ORDER BY doc_id) AS upto, sum(size) OVER () AS whole FROM z),
+s AS (SELECT *, least(15, floor((upto - size / 2) * 16 / whole))::INT AS shard FROM a)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, NULL::INT AS grown_shard FROM s
+""",
     "op6_ngram_join": f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
@@ -108,7 +138,10 @@ p AS (
 k (verdict, host, path) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
 f AS (
   SELECT p.page_id, k.host || k.path AS rule, k.verdict FROM p JOIN k ON (p.host = k.host OR ends_with(p.host, '.' || k.host)) AND starts_with(p.path, k.path)),
-b AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM f GROUP BY page_id)
-SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, 'allow') AS verdict FROM p LEFT JOIN b USING (page_id)
+b AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM f GROUP BY page_id),
+h AS (SELECT DISTINCT regexp_extract(lower(url), '^[^:]*://(?:(?:www|m|blog)\\.)*(spam[^/?#]*)', 1) AS h FROM pages),
+s AS (SELECT DISTINCT p.page_id FROM p JOIN h ON h.h <> '' AND (p.host = h.h OR ends_with(p.host, '.' || h.h)))
+SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, CASE WHEN s.page_id IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM p LEFT JOIN b USING (page_id) LEFT JOIN s USING (page_id)
 """,
 }

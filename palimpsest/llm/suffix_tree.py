@@ -413,7 +413,8 @@ def score_texts(
                         none = lambda t: pa.nulls(y - x, t)
                         yield pa.record_batch([pa.array(uid[of[x:y]]), pa.array(np.full(y - x, kind, np.int8)), pa.array(key[x:y].view(np.int64)), none(b.column(0).type), pa.array(times[x:y]), none(pa.bool_()), none(pa.int64()), none(pa.int64()), none(pa.float64()), none(pa.float64())], names=schema.names)
 
-    rows = docs.select(id_col, text_col).mapInArrow(run, schema)
+    # written once: a lost task would number the rows of a shuffled input otherwise
+    rows = durable(docs.select(id_col, text_col).mapInArrow(run, schema))
     log = F.log10((F.col("n") + 1) / F.lit(float(n_train + vocabulary + 1)))
     rare = words.where(F.col("n") < least).select(F.lit(0).cast("byte").alias("kind"), "key", log.alias("log"))
     rare = rare.unionByName(model.where(F.col("seen") < least_seen).select(F.lit(1).cast("byte").alias("kind"), "key", F.col("logp").alias("log")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import named, plain, small_batches
 from .text import SEPARATOR, Words, chunks, mix64, strings
 
 #: Words end at anything ASCII but letters and digits.
@@ -39,34 +39,38 @@ def features(a: pa.Array, bits: int, wanted: np.ndarray | None = None) -> tuple[
     return code >> bits, code & ((1 << bits) - 1), np.diff(w.first)
 
 
-def training_features(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, feature) pairs of many texts, gathered slice by slice."""
-    a = strings(pa.array(texts, pa.string()))
-    docs, feats = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
-    for i, j in chunks(a):
-        doc, feat, _ = features(a.slice(i, j - i), bits)
-        docs.append((doc + i).astype(np.int32))
-        feats.append(feat.astype(np.int32))
-    return np.concatenate(docs), np.concatenate(feats)
+class Sample:
+    """Training rows: (doc, feature) pairs, sorted by doc, and each row's label."""
+
+    def __init__(self, doc: np.ndarray, feat: np.ndarray, label: np.ndarray, bits: int):
+        self.doc, self.feat, self.label, self.bits = doc, feat, label, bits
+
+    @classmethod
+    def of(cls, texts: list[str], label, bits: int = 18) -> "Sample":
+        docs, feats = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k, x in enumerate(texts):
+            feats.append(features(strings(pa.array([x], pa.string())), bits)[1])
+            docs.append(np.full(len(feats[-1]), k))
+        return cls(np.concatenate(docs), np.concatenate(feats), np.asarray(label, np.int64), bits)
 
 
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def severities(texts: list[str], toxic: np.ndarray, grades: int, bits: int) -> np.ndarray:
+def severities(sample: Sample, grades: int) -> np.ndarray:
     """Grades for rows that are labelled 0 or 1 only: 0 for clean ones, 1 to grades - 1 for toxic ones.
 
     A toxic text's grade is the quantile, among the toxic ones, of the number of its features that are far
     more frequent in toxic than in clean texts (ties share the lower grade).
     """
-    doc, feat = training_features(texts, bits)
+    doc, feat, toxic, bits = sample.doc, sample.feat, sample.label, sample.bits
     n1 = max(1, int(toxic.sum()))
     n0 = max(1, len(toxic) - n1)
     d1 = np.bincount(feat[toxic[doc] == 1], minlength=1 << bits)
     d0 = np.bincount(feat[toxic[doc] == 0], minlength=1 << bits)
     marked = (d1 >= 3) & ((d1 + 0.5) / n1 > 10 * (d0 + 0.5) / n0)
-    dense = np.bincount(doc, marked[feat], minlength=len(texts))
+    dense = np.bincount(doc, marked[feat], minlength=len(toxic))
     cuts = np.quantile(dense[toxic == 1], np.arange(1, grades - 1) / (grades - 1)) if toxic.any() else []
     return np.where(toxic == 1, 1 + np.searchsorted(cuts, dense, "left"), 0)
 
@@ -78,7 +82,7 @@ class OrdinalModel:
         self.weights, self.thresholds, self.bits = weights, thresholds, bits
 
     @classmethod
-    def fit(cls, texts: list[str], grades: np.ndarray, bits: int = 18, l1: float = 1.5e-3, rounds: int = 300, min_docs: int = 3, n_grades: int | None = None, weight: np.ndarray | None = None) -> "OrdinalModel":
+    def fit(cls, sample: Sample, grades: np.ndarray, l1: float = 1.5e-3, rounds: int = 300, min_docs: int = 3, n_grades: int | None = None, weight: np.ndarray | None = None) -> "OrdinalModel":
         """Maximum likelihood with an L1 penalty by projected gradient steps.
 
         A feature can have a weight only if the likelihood's slope at the empty model exceeds the penalty.
@@ -89,16 +93,16 @@ class OrdinalModel:
         """
         grades = np.asarray(grades, np.int64)
         top = (int(grades.max(initial=0)) if n_grades is None else n_grades - 1) or 1
-        doc, feat = training_features(texts, bits)
+        doc, feat, bits = sample.doc, sample.feat, sample.bits
         df = np.bincount(feat, minlength=1 << bits)
         use = df[feat] >= min_docs
         doc, feat = doc[use], feat[use]
-        n = max(1, len(texts))
-        weight = np.ones(len(texts)) if weight is None else np.asarray(weight, float) * n / max(1e-9, np.sum(weight))
+        n = max(1, len(grades))
+        weight = np.ones(len(grades)) if weight is None else np.asarray(weight, float) * n / max(1e-9, np.sum(weight))
         share = np.array([(np.sum(weight[grades > k]) + 0.5) / (n + 1) for k in range(top)])
         start = np.log((1 - share) / share)
         gap = np.log(np.maximum(np.diff(start), 1e-3))
-        row = np.arange(len(texts))
+        row = np.arange(len(grades))
 
         def loss(x, theta):
             """The negative log-likelihood and its gradients by row and by threshold."""
@@ -159,17 +163,33 @@ class OrdinalModel:
         return out
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], np.ndarray]:
-    """At most `most` labelled texts (a documented bound), up to a half of them toxic, chosen by a hash of the id.
+def training_sample(docs: DataFrame, labels: DataFrame, most: int, bits: int = 18, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Sample:
+    """The features of at most `most` labelled texts (a documented bound), up to a half of them toxic, chosen by a hash of the id.
 
-    Texts over 200,000 characters are left to the others; an id that repeats counts once.
+    Texts count whatever their length: their features, at most 2^bits of each, are made in the tasks. An id that
+    repeats counts once, with its highest label and its first text in order of code points; labels but 0 and 1, and
+    null ids, not at all. So the sample depends on the rows only.
     """
     rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     order = F.xxhash64(F.lit(17), id_col)
-    chosen = rows.where("y = 1").orderBy(order).limit(most // 2).union(rows.where("y = 0").orderBy(order).limit(most // 2))
-    # at most `most` ids and labels
-    got = docs.select(id_col, text_col).where(F.length(text_col) <= 200_000).join(F.broadcast(chosen), id_col).dropDuplicates([id_col]).orderBy(id_col).limit(most).select(text_col, "y").toArrow()
-    return [x or "" for x in got.column(0).to_pylist()], np.array(got.column(1).to_pylist(), np.int64)
+    chosen = rows.where("y = 1").orderBy(order, id_col).limit(most // 2).union(rows.where("y = 0").orderBy(order, id_col).limit(most // 2))
+    # at most `most` ids and labels; and as many texts
+    got = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(chosen.select(F.col(id_col).alias("i"), "y")), "i").groupBy("i").agg(F.min("t").alias("t"), F.first("y").alias("y"))
+
+    def run(batches):
+        for b in batches:
+            feats = [features(strings(b.column(1).slice(k, 1)), bits)[1].astype(np.int32) for k in range(b.num_rows)]
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(feats, pa.list_(pa.int32()))], names=["i", "y", "f"])
+
+    kind = got.schema["i"].dataType.simpleString()
+    t = got.select("i", "t", "y").mapInArrow(run, f"i {kind}, y int, f array<int>").orderBy("i").toArrow()
+    f = t.column("f").combine_chunks()
+    f = pa.concat_arrays(f.chunks) if isinstance(f, pa.ChunkedArray) else f
+    size = np.diff(f.offsets.to_numpy())
+    return Sample(np.repeat(np.arange(len(size)), size), f.flatten().to_numpy().astype(np.int64), t.column("y").to_numpy().astype(np.int64), bits)
+
+
+NEW = ["expected_severity", "grade", "p_toxic", "is_toxic"]
 
 
 def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
@@ -177,22 +197,22 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
 
     expected_severity is the sum of P(grade > k); grade the number of those over 1/2; a text is rejected (is_toxic)
     when P(grade > 0) >= 1/2. Null and empty texts have no features. Null ids and repeated rows pass through; an
-    empty table gives none. With keep, columns of the same names as the new ones are replaced.
+    empty table gives none. With keep, columns of the same names as the new ones are replaced; others may have any.
     """
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    new = T.StructType.fromDDL("expected_severity double, grade int, p_toxic double, is_toxic boolean")
-    base = docs.drop(*[c for c in docs.columns if c.lower() in {f.name for f in new.fields}]) if keep else docs.select(id_col, text_col)
-    at = base.columns.index(text_col)
-    left = [i for i in range(len(base.columns)) if keep or i != at]
-    schema = T.StructType([base.schema.fields[i] for i in left] + new.fields)
+    docs = docs if keep else docs.select(id_col, text_col)
+    base, (text,) = plain(docs, text_col)
+    at = base.columns.index(text)
+    schema = T.StructType(base.schema.fields + T.StructType.fromDDL("expected_severity double, grade int, p_toxic double, is_toxic boolean").fields)
 
     def run(batches):
         m = shared.value
         for b in batches:
             p = m.exceed(strings(b.column(at)))
             cols = [pa.array(p.sum(1)), pa.array((p > 0.5).sum(1).astype(np.int32)), pa.array(p[:, 0]), pa.array(p[:, 0] >= 0.5)]
-            yield pa.record_batch([b.column(i) for i in left] + cols, names=schema.names)
+            yield pa.record_batch([*b.columns, *cols], names=schema.names)
 
-    return base.mapInArrow(run, schema)
+    out = named(base.mapInArrow(run, schema), docs, NEW)
+    return out if keep else out.drop(text_col)

@@ -8,9 +8,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import durable, small_batches
 
 
 class DigestArray:
@@ -82,59 +83,102 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host, rest[host_end:end]
 
 
+def suffixes(host: str, longest: int) -> list[str]:
+    """The host's suffixes at label borders that have at most `longest` characters: none else can be in a list."""
+    out, at = [], len(host)
+    while host and at >= 0:
+        at = host.rfind(".", 0, at)
+        if len(host) - at - 1 > longest:
+            break
+        out.append(host[at + 1 :])
+    return out
+
+
 def judge_urls(
     pages: DataFrame,
     rules: list[tuple[str, str]],
-    blocked_hosts: list[str] = (),
+    blocked_hosts: DataFrame | list[str] = (),
     default: str = "allow",
     id_col: str = "page_id",
     url_col: str = "url",
-    max_index_bytes: int = 64 << 20,
+    block_bytes: int = 32 << 20,
 ) -> DataFrame:
     """Judges every url by the longest rule that fits, else by the list of blocked hosts, else `default`.
 
     rules: (verdict, 'host/path'); a rule fits its host and all subdomains if the url's path starts with the
-    rule's; the longest rule string wins (same length: the longer host). Keys of rules and blocked hosts live in
-    digest arrays; each url probes them with its host's suffixes joined to prefixes of its path no longer than the
-    longest rule's. An index over max_index_bytes is refused: the lists are parameters, not data. Returns
+    rule's; the longest rule string wins (same length: the longer host). blocked_hosts, a list or the first column of
+    a table, block the host and all subdomains. Keys of both live in digest arrays; each url probes them with its
+    host's suffixes, of which none is longer than the longest host listed, joined to prefixes of its path no longer
+    than the longest rule's. Keys are dealt by a hash into blocks of about block_bytes, each its own array and pass
+    over the urls, so lists of any size do; what the passes find is merged by row. Returns
     (id, host, path, rule, verdict). Null or malformed urls have empty host and path and get the default. Null ids
-    pass through, repeated rows give repeated rows, an empty table none.
+    pass through, repeated rows give repeated rows, an empty table none; null or empty hosts in the list do nothing.
     """
     spark = pages.sparkSession
     small_batches(spark, 10000)
-    image, hosts = DigestArray.build(k for _, k in rules), DigestArray.build(blocked_hosts)
-    if len(image) + len(hosts) > max_index_bytes:
-        raise ValueError("the rule index is larger than max_index_bytes")
     verdict_of = {k: v for v, k in rules}
+    keys = spark.createDataFrame([(k,) for k in verdict_of], "k string")
+    if isinstance(blocked_hosts, DataFrame):
+        hosts = blocked_hosts.select(F.col(blocked_hosts.columns[0]).cast("string").alias("k"))
+    else:
+        hosts = spark.createDataFrame([(h,) for h in blocked_hosts], "k string")
+    keys = keys.unionByName(hosts.where("k <> '' and not contains(k, '/')")).distinct()
+    host = F.substring_index("k", "/", 1)
+    size = keys.agg(F.sum(F.octet_length("k") + 40).alias("bytes"), F.max(F.length(host)).alias("host")).first()
+    blocks = -(-(size["bytes"] or 0) // block_bytes) or 1
+    longest = size["host"] or 0
     lengths = sorted({len(k) - k.index("/") for k in verdict_of}, reverse=True)
-    shared = spark.sparkContext.broadcast((image, hosts))
-    schema = T.StructType([pages.schema[id_col], *T.StructType.fromDDL("host string, path string, rule string, verdict string").fields])
+    if blocks > 1:
+        keys = durable(keys)
+    judged = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
+    for k in range(blocks):
+        part = keys.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == k).toArrow().column(0).to_pylist()  # about block_bytes
+        judged = _pass(judged, spark.sparkContext.broadcast(DigestArray.build(part)), lengths, longest, k)
+    best, listed = F.lit(None).cast("string"), F.lit(False)
+    weight = lambda c: F.struct(F.length(c), F.length(F.substring_index(c, "/", 1)))
+    for k in range(blocks):
+        rule = F.col(f"rule{k}")
+        best = F.when(best.isNull() | (rule.isNotNull() & (weight(rule) > weight(best))), rule).otherwise(best)
+        listed = listed | F.col(f"listed{k}")
+    judged = judged.select("id", "host", "path", best.alias("rule"), listed.alias("listed"))
+    verdict = F.when(F.col("listed"), "block").otherwise(default)
+    for v in {v for v, _ in rules}:
+        verdict = F.when(F.col("rule").isin([k for k, x in verdict_of.items() if x == v]), v).otherwise(verdict)
+    return judged.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"))
+
+
+def _pass(df: DataFrame, shared, lengths: list[int], longest: int, k: int) -> DataFrame:
+    """Adds the best rule among the keys of one digest array and whether it lists the host; first splits the urls."""
+    fields = T.StructType.fromDDL(f"rule{k} string, listed{k} boolean").fields
+    if k == 0:
+        schema = T.StructType([df.schema["id"], *T.StructType.fromDDL("host string, path string").fields, *fields])
+    else:
+        schema = T.StructType([*df.schema.fields, *fields])
 
     def run(batches):
-        index, blocked = map(DigestArray.mapped, shared.value)
+        index = DigestArray.mapped(shared.value)
         for b in batches:
-            hosts_, paths, probes, owner = [], [], [], []
-            for i, url in enumerate(b.column(1).to_pylist()):
-                host, path = split_url(url)
-                hosts_.append(host)
-                paths.append(path)
-                parts = host.split(".") if host else []
+            if k == 0:
+                split = [split_url(url) for url in b.column(1).to_pylist()]
+                hosts, paths = [h for h, _ in split], [p for _, p in split]
+                columns = [b.column(0), pa.array(hosts, pa.string()), pa.array(paths, pa.string())]
+            else:
+                hosts, paths, columns = b.column(1).to_pylist(), b.column(2).to_pylist(), b.columns
+            probes, owner = [], []
+            for i, (host, path) in enumerate(zip(hosts, paths)):
+                ends = suffixes(host, longest)
+                probes += ends
                 for n in (n for n in lengths if n <= len(path)):
-                    probes += [".".join(parts[k:]) + path[:n] for k in range(len(parts))]
-                    owner += [i] * len(parts)
-            best: list[str | None] = [None] * len(hosts_)
-            for k in np.flatnonzero(index.find(probes) >= 0):
-                i, rule = owner[k], probes[k]
-                if best[i] is None or (len(rule), rule.index("/")) > (len(best[i]), best[i].index("/")):
-                    best[i] = rule
-            names, owner = [], []
-            for i, host in enumerate(hosts_):
-                if best[i] is None and host and blocked.n:
-                    parts = host.split(".")
-                    names += [".".join(parts[k:]) for k in range(len(parts))]
-                    owner += [i] * len(parts)
-            listed = {owner[k] for k in np.flatnonzero(blocked.find(names) >= 0)}
-            verdicts = [verdict_of[r] if r is not None else "block" if i in listed else default for i, r in enumerate(best)]
-            yield pa.record_batch([b.column(0), pa.array(hosts_, pa.string()), pa.array(paths, pa.string()), pa.array(best, pa.string()), pa.array(verdicts, pa.string())], names=[id_col, "host", "path", "rule", "verdict"])
-
-    return pages.select(id_col, url_col).mapInArrow(run, schema)
+                    probes += [x + path[:n] for x in ends]
+                owner += [i] * (len(probes) - len(owner))
+            best: list[str | None] = [None] * len(hosts)
+            listed = [False] * len(hosts)
+            for at in np.flatnonzero(index.find(probes) >= 0):
+                i, key = owner[at], probes[at]
+                if "/" not in key:
+                    listed[i] = True
+                elif best[i] is None or (len(key), key.index("/")) > (len(best[i]), best[i].index("/")):
+                    best[i] = key
+            yield pa.record_batch([*columns, pa.array(best, pa.string()), pa.array(listed)], names=schema.names)
+
+    return df.mapInArrow(run, schema)

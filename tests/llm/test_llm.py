@@ -141,8 +141,8 @@ def test_secrets_edges(docs, none):
 def test_toxicity(docs, none):
     texts = [f"fine words here {i} and more" for i in range(60)] + [f"you idiot {'moron ' * (i % 3)} go {i}" for i in range(60)]
     y = np.array([0] * 60 + [1] * 60)
-    grades = toxicity.severities(texts, y, 4, 16)
-    m = toxicity.OrdinalModel.fit(texts, grades, bits=16, n_grades=4)
+    sample = toxicity.Sample.of(texts, y, 16)
+    m = toxicity.OrdinalModel.fit(sample, toxicity.severities(sample, 4), n_grades=4)
     p = m.exceed(text.strings(pa.array(["an idiot moron", "fine words", "", None])))
     assert (np.diff(m.thresholds) >= 0).all() and p[0, 0] > 0.5 > p[1, 0] and p[2, 0] < 0.5
     assert toxicity.score_toxicity(docs, m).count() == len(ROWS) and toxicity.score_toxicity(none, m, keep=True).count() == 0

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,34 +78,32 @@ def unpack(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(both[:n], dtype=np.uint64), both[n:].astype(np.int64)
 
 
-def common_shingles(docs: DataFrame, text_col: str, words: int, total: int, least: int) -> tuple[DataFrame, int]:
-    """(key, n) of the shingles that occur `least` times or more in all texts, and the shift that makes a key of a hash.
+def frequent(keys: DataFrame, total: int, least: int) -> tuple[DataFrame, int]:
+    """(key, n) of what occurs `least` times or more in the arrays of hashes of a one-column table, and a shift.
 
-    A key is the upper bits of the hash, six more than tell `total` shingles apart, so that few share one. Every
-    partition counts for itself and hands on sorted runs of keys, packed, for each range of keys; a range's runs, about
-    2 million keys, are summed in one task. A frequent shingle is one entry of each run.
+    A key is the upper bits of the hash, which the shift leaves: six more than tell `total` hashes apart, so that few share
+    one. Every partition counts for itself and hands on sorted runs of keys, packed, for each range of keys; a range's
+    runs, about 2 million keys, are summed in one task. A frequent hash is one entry of each run.
     """
     bits = min(63, max(16, int(total).bit_length() + 6))
     shift = np.uint64(64 - bits)
-    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // (1 << 21)), 1)
+    ranges = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // (1 << 21)), 1)
     width = np.uint64(-(-(1 << bits) // ranges))
 
     def run(batches):
         tally = Tally(1 << 22)
 
         def out():
-            keys, n = tally.take()
-            part = (keys // width).astype(np.int64)
+            found, n = tally.take()
+            part = (found // width).astype(np.int64)
             at = np.flatnonzero(np.diff(part, prepend=-1))
             to = np.append(at[1:], len(part)) if len(at) else at
-            return pa.record_batch([pa.array(part[at].astype(np.int32)), pa.array((to - at).astype(np.int32)), pa.array([pack(keys[i:j], n[i:j]) for i, j in zip(at, to)], pa.binary())], names=["part", "n", "run"])
+            return pa.record_batch([pa.array(part[at].astype(np.int32)), pa.array((to - at).astype(np.int32)), pa.array([pack(found[i:j], n[i:j]) for i, j in zip(at, to)], pa.binary())], names=["part", "n", "run"])
 
         for b in batches:
-            a = strings(b.column(0))
-            for i, j in chunks(a):
-                tally.add(shingle_runs(a.slice(i, j - i), words)[1] >> shift)
-                if tally.full():
-                    yield out()
+            tally.add(b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64) >> shift)
+            if tally.full():
+                yield out()
         if tally.size:
             yield out()
 
@@ -112,11 +111,70 @@ def common_shingles(docs: DataFrame, text_col: str, words: int, total: int, leas
         tally = Tally()
         for n, blob in zip(table.column("n").to_pylist(), table.column("run")):
             tally.parts.append(unpack(blob.as_py(), n))
-        keys, n = tally.take()
+        found, n = tally.take()
         often = n >= least
-        return pa.table({"key": pa.array(keys[often].view(np.int64)), "n": pa.array(n[often])})
+        return pa.table({"key": pa.array(found[often].view(np.int64)), "n": pa.array(n[often])})
+
+    return keys.mapInArrow(run, "part int, n int, run binary").groupBy("part").applyInArrow(add, "key long, n long"), int(shift)
+
+
+class Bands:
+    """Keys by which any two linked sets meet.
+
+    Two sets with Jaccard similarity t or more differ in at most r = (1-t)/(1+t) * (|A|+|B|) shingles. Shingles are
+    hashed into p bands, of which a differing shingle changes one; a key is the hash of a band's contents. So of a
+    set's k keys at least k - r are the other's too. All keys are ordered in one way, rare ones first; then the first
+    r + 1 of either set have one in common. What many texts share is thereby no key of a text of which a quarter
+    or more is its own. p is fixed for a range of sizes, sizes in reach of the next lower range use both, and a set
+    with r keys or fewer adds levels of more bands until it has more: of two sets, the one that needs fewer
+    levels is the guarantee. At t of a half and less r is no bound, and each shingle is a key.
+    """
 
-    return docs.select(text_col).mapInArrow(run, "part int, n int, run binary").groupBy("part").applyInArrow(add, "key long, n long"), int(shift)
+    def __init__(self, percent: int):
+        self.percent = percent
+        self.step = 1.5 if percent >= 83 else 2.0  # wide size ranges cost keys at their lower ends, narrow ones at overlaps
+        self.ratio = math.log(self.step)
+
+    def differ(self, n: int) -> int:
+        """The most shingles in which a set of n can differ from a linked one."""
+        return (100 - self.percent) * n // self.percent
+
+    def needed(self, n: np.ndarray) -> np.ndarray:
+        """How many keys of a level bring a set of n to all that it links with."""
+        return (100 - self.percent) * n // (self.percent if self.percent > 50 else 100) + 1
+
+    def classes(self, n: int) -> list[int]:
+        """The size ranges in which a set of n meets others: its own, and that of its smallest partner."""
+        own = math.floor(math.log(n) / self.ratio + 1e-9)
+        low = math.floor(math.log(max(1, -(-n * self.percent // 100))) / self.ratio + 1e-9)
+        return list(range(low, own + 1))
+
+    def keys(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of a set, and for each the number of its level and (255 - its shingles), in one integer."""
+        n = len(s)
+        if not n:
+            return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        if self.percent <= 50:
+            return s.view(np.int64), np.full(n, 254, np.int32)
+        need = self.differ(n) + 1
+        out, marks = [], []
+        for cls in self.classes(n):
+            p, level = max(1, math.ceil((self.differ(math.ceil(self.step ** (cls + 1))) + 1) * 2)), 0
+            while True:
+                salt = np.uint64((cls << 8 | level) + 1)
+                h = mix64(s ^ mix64(np.array([salt]))[0])
+                band = ((h >> np.uint64(32)) * np.uint64(p) >> np.uint64(32)).astype(np.int64)
+                count = np.bincount(band, minlength=p)
+                full = np.flatnonzero(count)
+                low = np.bincount(band, (h & np.uint64(0xFFFFFFF)).astype(np.float64), minlength=p)[full].astype(np.uint64)
+                inner = mix64(h)
+                high = np.bincount(band, (inner >> np.uint64(36)).astype(np.float64), minlength=p)[full].astype(np.uint64)
+                marks.append((len(out) << 8 | 255 - np.minimum(count[full], 255)).astype(np.int32))
+                out.append(mix64(mix64(low * _K + high) * _K + full.astype(np.uint64) * np.uint64(4096) + salt))
+                if len(full) >= need:
+                    break
+                p, level = 2 * p, level + 1
+        return np.concatenate(out).view(np.int64), np.concatenate(marks)
 
 
 class RTree:
@@ -263,22 +321,16 @@ def _tasks(members: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return rows.groupBy("task").applyInArrow(solve, f"a {id_type}, b {id_type}")
 
 
-def prefixes(h: np.ndarray, first: np.ndarray, often: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, shingle, 2 n + 1, or 2 n in an anchor) of the shingles by which linked sets meet.
-
-    All sets are ordered in one way: by how often a shingle occurs, then by its hash. Two sets whose first common
-    shingle stands at places i of n and j of m share at most min(n - i, m - j); linked they share percent / 100 of the
-    larger at least, so that shingle is in the prefix of both, and no less than 2 t / (1 + t) of the smaller, in
-    which it is an anchor.
-    """
-    size = np.diff(first)
-    doc = np.repeat(np.arange(len(size)), size)
-    order = np.lexsort((h, often, doc))
-    left = size[doc] - (np.arange(len(h)) - first[doc])
-    n = size[doc]
-    keep = 100 * left >= percent * n
-    anchor = (100 + percent) * left >= 2 * percent * n
-    return doc[keep], h[order][keep], (2 * n + ~anchor)[keep]
+def rarest(key: np.ndarray, mark: np.ndarray, first: np.ndarray, often: np.ndarray, needed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(set, key) of each set's first `needed` keys of each level: the least frequent, then those of most shingles, then by hash."""
+    own = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    level = mark >> 8
+    order = np.lexsort((key, mark & 255, often, level, own))
+    new = np.ones(len(key), bool)
+    new[1:] = (own[1:] != own[:-1]) | (level[order][1:] != level[order][:-1])
+    row = np.arange(len(key))
+    keep = row - np.maximum.accumulate(np.where(new, row, 0)) < needed[own]
+    return own[keep], key[order][keep]
 
 
 def size_range(percent: int) -> float:
@@ -289,6 +341,7 @@ def size_range(percent: int) -> float:
 def chain(batches, percent: int):
     """Edges between sets that share a key; batches: (key, na, node), sorted; a row with a key is an end of the partition.
 
+    na is twice the set's size, plus 1 for a set that is no anchor: that cannot be the smaller of two that link.
     A set is tied to the first anchor of its key and range of sizes, and that one, like a set that stands before it, to
     the last anchor before, if their sizes allow a link. What links by this key is thereby connected, as the smaller
     of the two is an anchor. The first row counts as one, as its key may go on.
@@ -338,13 +391,13 @@ def jaccard_components(
     """Components of documents under links 100 * |A and B| >= percent * |A or B| between their shingle sets, exact.
 
     1. Texts with the same set (128-bit hash of it) are one point, the smallest id standing for all.
-    2. How often each shingle occurs is counted over all texts. A point's keys are its rarest shingles (see prefixes;
-       linked points always share one that is an anchor of the smaller), so that a passage that many texts share
-       brings no two of them together unless it is nearly all there is of them. The order needs the frequent shingles
-       only: the most_common most frequent of those that occur four times or more are sent to all tasks.
-    3. Points that share a key, of which one is an anchor, form rough groups, found over all keys at once: rows are
-       range-partitioned by (key, size, point) and tied to their neighbours (see chain), so that a key of any number
-       of rows is cut over many tasks; where a cut runs through a key, the ends are stitched together.
+    2. How often each band key (see Bands) occurs is counted over all texts. A point keeps its rarest keys, of which
+       linked points always share one, so that a passage that many texts share brings no two of them together unless
+       it is most of what there is of them. The order needs the frequent keys only: of those that occur eight
+       times or more, the most_common most frequent are sent to all tasks.
+    3. Points that share a key form rough groups, found over all keys at once: rows are range-partitioned by (key,
+       size, point) and tied to their neighbours (see chain), so that a key of any number of rows is cut over many
+       tasks; where a cut runs through a key, the ends are stitched together.
     4. Rough groups are searched by count-vector R-trees. Small ones share tasks of about near_task points. A larger
        one falls apart into pairs of neighbouring size ranges, and what is still larger is cut into blocks; each block,
        with the group's first point added, is a task. Then points outside their group's largest component meet, in
@@ -360,23 +413,27 @@ def jaccard_components(
         raise ValueError("percent must be from 1 to 100")
     spark = docs.sparkSession
     small_batches(spark)
+    bands = Bands(percent)
     id_field = T.StructField("id", docs.schema[id_col].dataType)
-    schema = T.StructType([id_field, *T.StructType.fromDDL("n long, h1 long, h2 long, point long").fields])
+    schema = T.StructType([id_field, *T.StructType.fromDDL("n long, h1 long, h2 long, point long, keys array<long>, marks array<int>").fields])
 
     def describe(batches):
         for b in batches:
             a = strings(b.column(1))
             for i, j in chunks(a):
                 h, first = flat_sets(a.slice(i, j - i), words)
-                yield pa.record_batch([b.column(0).slice(i, j - i), pa.array(np.diff(first)), *[pa.array(x.view(np.int64)) for x in set_hashes(h, first)]], names=schema.names)
+                keys, marks = zip(*[bands.keys(h[p:q]) for p, q in zip(first[:-1], first[1:])])
+                off = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(off, pa.array(np.concatenate(x))) for x in (keys, marks)]
+                yield pa.record_batch([b.column(0).slice(i, j - i), pa.array(np.diff(first)), *[pa.array(x.view(np.int64)) for x in set_hashes(h, first)], *lists], names=schema.names)
 
     features = durable(docs.select(id_col, text_col).mapInArrow(describe, schema))
     live = features.where("n > 0 and id is not null")
     reps = durable(live.groupBy("h1", "h2", "point").agg(F.min("id").alias("rep"), F.max("n").alias("n")))
 
     # keys
-    total = features.agg(F.sum("n")).first()[0] or 0
-    counts, shift = common_shingles(docs, text_col, words, total, 4)
+    total = features.agg(F.sum(F.size("keys"))).first()[0] or 0
+    counts, shift = frequent(features.select("keys"), total, 8)
     _, often = common_rows(durable(counts), "n", most_common)
     known = often.column("key").to_numpy().view(np.uint64)
     order = np.argsort(known)
@@ -386,29 +443,27 @@ def jaccard_components(
         known, times = shared.value
         seen: set = set()  # points whose keys this task has given already
         for b in batches:
-            a = strings(b.column(0))
-            for i, j in chunks(a):
-                h, first = flat_sets(a.slice(i, j - i), words)
-                point = set_hashes(h, first)[2]
-                new = np.zeros(len(point), bool)
-                for k, x in enumerate(point.tolist()):
-                    new[k] = x not in seen
-                    seen.add(x)
-                if len(seen) > 1 << 20:
-                    seen.clear()
-                at = np.searchsorted(known, h >> np.uint64(shift))
-                got = np.zeros(len(h), np.int64)
-                if len(known):
-                    at = np.minimum(at, len(known) - 1)
-                    got = np.where(known[at] == h >> np.uint64(shift), times[at], 0)
-                doc, key, na = prefixes(h, first, got, percent)
-                own = new[doc]
-                yield pa.record_batch([pa.array(key[own].view(np.int64)), pa.array(na[own]), pa.array(point[doc[own]].view(np.int64))], names=["key", "na", "node"])
+            n, point = b.column(0).to_numpy(), b.column(1).to_numpy()
+            new = np.zeros(len(point), bool)
+            for k, x in enumerate(point.tolist()):
+                new[k] = x not in seen
+                seen.add(x)
+            if len(seen) > 1 << 20:
+                seen.clear()
+            b = b.filter(pa.array(new))
+            n, point = n[new], point[new]
+            key, mark = (b.column(k).flatten().to_numpy() for k in (2, 3))
+            first = np.concatenate([[0], np.cumsum(pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False))])
+            short = key.view(np.uint64) >> np.uint64(shift)
+            at = np.minimum(np.searchsorted(known, short), max(0, len(known) - 1))
+            got = np.where(known[at] == short, times[at], 0) if len(known) else np.zeros(len(key), np.int64)
+            own, kept = rarest(key, mark, first, got, bands.needed(n))
+            yield pa.record_batch([pa.array(kept), pa.array(2 * n[own]), pa.array(point[own])], names=["key", "na", "node"])
 
     # rough groups
     n_parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # range boundaries come from a sample of the rows: the rows are written, so that they are made once
-    keyed = durable(docs.where(F.col(id_col).isNotNull()).select(text_col).mapInArrow(key_rows, "key long, na long, node long"))
+    keyed = durable(live.select("n", "point", "keys", "marks").mapInArrow(key_rows, "key long, na long, node long"))
     pairs = keyed.repartitionByRange(n_parts, "key", "na", "node").sortWithinPartitions("key", "na", "node")
     pairs = pairs.mapInArrow(lambda batches: chain(batches, percent), "a long, b long, key long")
     pairs = durable(pairs.where("key is not null or a <> b").distinct())

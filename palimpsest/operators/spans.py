@@ -30,29 +30,30 @@ def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return lines.where(F.col("text").rlike(r"(?U)\S")).select("doc_id", F.concat(F.lit("p1_block_"), F.col("seq")).alias("block_id"), "seq", "text")
 
 
-def scan(blocks: DataFrame, patterns=PATTERNS, allow=ALLOWED, headers=TABLE_HEADERS, window: int = 80) -> DataFrame:
-    """All catalog matches: keys, entity_type, variant, confidence, text_start, text_end, value.
+def scan(blocks: DataFrame, patterns=PATTERNS, allow=ALLOWED, headers=TABLE_HEADERS, window: int = 80, keep_text: bool = False) -> DataFrame:
+    """All catalog matches: keys, entity_type, variant, confidence, text_start, text_end, value; with keep_text the block's text too.
 
     Blank texts and texts that are a table header give none. A match that overlaps an allow-listed span is dropped.
     A pattern that needs context keeps a match only if a cue of its type stands in the `window` characters before it.
-    One projection over the blocks, no shuffle; a pattern costs one failed search where it does not occur.
+    One projection over the blocks, no shuffle; a pattern costs one failed search where it does not occur, and the
+    allow-list is looked at only where something was found.
     """
     text = F.col("text")
     rows = blocks.where(text.rlike(r"(?U)\S") & ~F.lower(F.trim(text)).isin(headers or [""]))
-    allowed = F.flatten(F.array(*[matches(text, java(p, True)) for p in allow])) if allow else F.array().cast("array<struct<s:int,e:int,v:string>>")
-    rows = rows.withColumn("_allow", allowed)
     each = []
     for kind, variant, pattern, confidence, context, any_case in patterns:
         found = F.transform(matches(text, java(pattern, any_case)), lambda m: F.struct(
             F.lit(kind).alias("entity_type"), F.lit(variant).alias("variant"), F.lit(confidence).alias("confidence"), F.lit(context).alias("context"),
             m["s"].alias("text_start"), m["e"].alias("text_end"), m["v"].alias("value")))
         each.append(found)
-    rows = rows.withColumn("_m", F.explode(F.flatten(F.array(*each)))).drop("text") if not any(p[4] for p in patterns) else rows.withColumn("_m", F.explode(F.flatten(F.array(*each))))
-    rows = rows.where(~F.exists("_allow", lambda a: (F.col("_m.text_start") < a["e"]) & (F.col("_m.text_end") > a["s"])))
-    if "text" in rows.columns:
+    rows = rows.withColumn("_m", F.explode(F.flatten(F.array(*each))))
+    if allow:
+        allowed = F.flatten(F.array(*[matches(text, java(p, True)) for p in allow]))
+        rows = rows.where(~F.exists(allowed, lambda a: (F.col("_m.text_start") < a["e"]) & (F.col("_m.text_end") > a["s"])))
+    if any(p[4] for p in patterns):
         start = F.greatest(F.lit(0), F.col("_m.text_start") - window)
         before = F.lower(F.substring(text, start + 1, F.col("_m.text_start") - start))
         cues = F.create_map(*[x for k, v in CUES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
         own = F.coalesce(cues[F.col("_m.entity_type")], F.array().cast("array<string>"))
-        rows = rows.where(~F.col("_m.context") | F.exists(own, lambda c: F.contains(before, c))).drop("text")
-    return rows.select(*[c for c in blocks.columns if c != "text"], "_m.entity_type", "_m.variant", "_m.confidence", "_m.text_start", "_m.text_end", "_m.value")
+        rows = rows.where(~F.col("_m.context") | F.exists(own, lambda c: F.contains(before, c)))
+    return rows.select(*[c for c in blocks.columns if keep_text or c != "text"], "_m.entity_type", "_m.variant", "_m.confidence", "_m.text_start", "_m.text_end", "_m.value")

@@ -15,7 +15,7 @@ def risk_rank(kind: Column) -> Column:
 
 
 def risk_name(rank: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, RISKS)), (rank + 1).cast("int"))
+    return F.get(F.array(*map(F.lit, RISKS)), F.greatest(rank, F.lit(0)).cast("int"))
 
 
 def overlap_pairs(e: DataFrame) -> DataFrame:

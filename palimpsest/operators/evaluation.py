@@ -62,3 +62,30 @@ def utility(cases: DataFrame) -> DataFrame:
     kept = F.coalesce(F.try_divide(F.size(F.filter("expected", lambda c: F.contains(low, F.lower(c)))), F.size("expected")), F.lit(1.0))
     leaked = F.exists("leaks", lambda v: (v != "") & F.contains(low, F.lower(v)))
     return cases.groupBy("domain").agg(F.avg(kept).alias("retention"), F.count_if(leaked).alias("leaks"), F.count(F.lit(1)).alias("cases"))
+
+
+# The types whose recall is told apart; a card counts as high here.
+CRITICAL_TYPES = ["SSN", "PAN", "PASSPORT", "AADHAAR", "NINO"]
+HIGH_TYPES = ["EMAIL", "PHONE", "PERSON", "ADDRESS", "CARD", "BANK_ACCOUNT", "IFSC", "GST", "UPI"]
+
+
+def report(docs: DataFrame, found: DataFrame, truth: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row: tp, fp, fn, precision, recall, f1, critical_recall, high_recall, leak_rate, over_redaction.
+
+    pairs: (doc_id, found_seq, truth_seq) as match gives them. A document leaks when one of its true entities is not
+    caught; over-redaction is the share of what was found that is not true. Rates without anything to count are 0.
+    """
+    hit = pairs.select("doc_id", F.col("truth_seq").alias("seq"), F.lit(1).alias("hit"))
+    t = truth.select("doc_id", F.col("seq").cast("long").alias("seq"), "entity_type").join(hit, ["doc_id", "seq"], "left")
+    missed = F.col("hit").isNull()
+    of = lambda types: F.col("entity_type").isin(types)
+    counts = t.agg(
+        F.count("hit").alias("tp"), F.count_if(missed).alias("fn"), F.countDistinct(F.when(missed, F.col("doc_id"))).alias("leaks"),
+        F.count_if(of(CRITICAL_TYPES) & ~missed).alias("ct"), F.count_if(of(CRITICAL_TYPES)).alias("cn"), F.count_if(of(HIGH_TYPES) & ~missed).alias("ht"), F.count_if(of(HIGH_TYPES)).alias("hn"),
+    )
+    out = counts.crossJoin(found.agg(F.count(F.lit(1)).alias("found"))).crossJoin(docs.agg(F.count(F.lit(1)).alias("docs")))  # one row each
+    rate = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
+    out = out.withColumn("fp", F.col("found") - F.col("tp")).withColumn("true", F.col("tp") + F.col("fn"))
+    out = out.withColumn("precision", rate("tp", "found")).withColumn("recall", rate("tp", "true"))
+    f1 = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))
+    return out.select("tp", "fp", "fn", "precision", "recall", f1.alias("f1"), rate("ct", "cn").alias("critical_recall"), rate("ht", "hn").alias("high_recall"), rate("leaks", "docs").alias("leak_rate"), rate("fp", "found").alias("over_redaction"))

@@ -92,7 +92,7 @@ def assessment(docs: DataFrame, e: DataFrame, unapplied: DataFrame, findings: Da
     allowed, of those that could not be applied (unapplied: doc_id, block_id, seq), and of the verifier's findings (doc_id,
     risk_level); a document without a report (doc_id, status), or with an uncertain one, counts as CRITICAL.
     """
-    rank = lambda c: F.array_position(F.array(*map(F.lit, RISKS)), c) - 1
+    rank = lambda c: F.array_position(F.array(*map(F.lit, RISKS)), F.col(c)) - 1
     rows = e.join(unapplied.select("doc_id", "block_id", "seq", F.lit(True).alias("_u")), ["doc_id", "block_id", "seq"], "left")
     open_ = F.coalesce(F.col("_u"), F.lit(False)) | ~F.coalesce(F.col("action").isin("REDACT", "ALLOW"), F.lit(False))
     count = lambda r: F.count_if(F.col("risk_level") == r).alias(f"n_{r.lower()}")

@@ -82,13 +82,16 @@ def confirmed_names(e: DataFrame, terms: list[str] = (), least: float = 0.60) ->
 def occurrences(blocks: DataFrame, phrases: DataFrame, on: list[str], kind: str, confidence: float, layer: str) -> DataFrame:
     """Whole-word occurrences, in any case, of (.., name) in the blocks that agree on the columns `on`.
 
-    A plain substring test comes before the search for places; the phrases of a group are joined by its key.
+    The blocks' words are joined with the phrases' first words, so no block meets a phrase that cannot be in it; a plain
+    substring test comes before the search for places. Phrases without a word are in no block.
     """
-    joined = blocks.join(phrases, on) if on else blocks.crossJoin(F.broadcast(phrases))
-    near = joined.where(F.contains(F.lower("text"), F.lower("name")))
-    pattern = F.concat(F.lit(r"(?iuU)\b\Q"), F.col("name"), F.lit(r"\E\b"))
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w+"), 0)
+    first = phrases.withColumn("_w", F.get(words("name"), F.lit(0))).where("_w is not null").distinct()
+    rows = blocks.withColumn("_w", F.explode(F.array_distinct(words("text"))))
+    near = rows.join(first, [*on, "_w"]).where(F.contains(F.lower("text"), F.lower("name")))
+    pattern = F.concat(F.lit(r"(?iuU)(?<!\w)\Q"), F.col("name"), F.lit(r"\E(?!\w)"))
     found = near.withColumn("_m", F.explode(matches(F.col("text"), pattern)))
-    return found.select("doc_id", "block_id", F.lit(kind).alias("entity_type"), F.col("_m.v").alias("value"), F.col("_m.s").alias("text_start"), F.col("_m.e").alias("text_end"), F.lit(confidence).alias("confidence"), F.array(F.lit(layer)).alias("detection_layers"))
+    return found.select("doc_id", "block_id", F.lit(kind).alias("entity_type"), F.col("_m.v").alias("value"), F.col("_m.s").alias("text_start"), F.col("_m.e").alias("text_end"), F.lit(confidence).alias("confidence"), F.array(F.lit(layer)).alias("detection_layers"), "name")
 
 
 def propagate(blocks: DataFrame, e: DataFrame, terms: list[str] = ()) -> DataFrame:
@@ -97,7 +100,7 @@ def propagate(blocks: DataFrame, e: DataFrame, terms: list[str] = ()) -> DataFra
     A document without a confirmed name stays as it is. New entities are numbered after the block's others.
     """
     names = confirmed_names(e, terms)
-    new = occurrences(blocks.select("doc_id", "block_id", "text"), names, ["doc_id"], "PERSON", 0.92, "context").distinct()
+    new = occurrences(blocks.select("doc_id", "block_id", "text"), names, ["doc_id"], "PERSON", 0.92, "context").drop("name").distinct()
     old = e.select(F.col("doc_id").alias("d"), F.col("block_id").alias("b"), F.col("text_start").alias("s"), F.col("text_end").alias("t"))
     new = new.join(old, (F.col("doc_id") == F.col("d")) & (F.col("block_id") == F.col("b")) & (F.col("s") <= F.col("text_start")) & (F.col("text_end") <= F.col("t")), "left_anti")
     new = new.withColumn("seq", (F.lit(1 << 30) + F.col("text_start")).cast("int"))

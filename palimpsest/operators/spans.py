@@ -10,9 +10,10 @@ def java(pattern: str, any_case: bool) -> str:
     return ("(?iuU)" if any_case else "(?U)") + pattern
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str | Column) -> Column:
     """array<struct<s, e, v>> of the leftmost matches: the pieces between them give their offsets."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    found, between = F.regexp_extract_all(text, pattern, 0), F.split(text, pattern, -1)
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,v:string>>").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
@@ -21,7 +22,7 @@ def matches(text: Column, pattern: str) -> Column:
         return F.struct(e.alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("v")))).alias("out"))
 
     pairs = F.filter(F.arrays_zip(between.alias("q"), found.alias("m")), lambda x: x["m"].isNotNull())
-    return F.when(text.rlike(pattern), F.aggregate(pairs, empty, step)["out"]).otherwise(F.array().cast("array<struct<s:int,e:int,v:string>>"))
+    return F.when(F.rlike(text, pattern), F.aggregate(pairs, empty, step)["out"]).otherwise(F.array().cast("array<struct<s:int,e:int,v:string>>"))
 
 
 def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -50,3 +50,28 @@ def test_documents_without_entities_are_allowed(spark):
     e = spark.createDataFrame([(1, "SSN", 0.2)], "doc_id int, entity_type string, confidence double")
     got = {r.doc_id: (r.action, r.risk) for r in entities.document_action(docs, entities.decide(e)).collect()}
     assert got == {1: ("BLOCK", "CRITICAL"), 2: ("ALLOW", "NONE")}
+
+
+def test_values_are_rewritten_longest_first_and_tokens_stay():
+    from palimpsest.operators import rewriting
+
+    pairs = {"Ann": "[PERSON_1]", "Ann Lee": "[PERSON_2]", "REDACTED": "x"}
+    assert rewriting.replaced("Ann Lee and Ann, Annex [REDACTED_SSN]", pairs) == "[PERSON_2] and [PERSON_1], Annex [REDACTED_SSN]"
+    assert rewriting.replaced("ann", {"Ann": "t"}, any_case=True) == "t" and rewriting.replaced(None, pairs) is None
+
+
+def test_policies_that_are_unsafe_are_refused():
+    from palimpsest.operators import policy
+
+    assert policy.checked({})["rules"]["CRITICAL"]["uncertainty_action"] == "BLOCK"
+    for bad in ({"fail_closed": False}, {"rules": {"CRITICAL": {"action": "ALLOW"}}}, {"rules": {"HIGH": {"min_confidence_to_redact": 1.5}}}, {"rules": {"MEDIUM": {"entities": ["SSN"]}}}, {"allow_lists": {"x": ["("]}}):
+        with pytest.raises(ValueError):
+            policy.checked(bad)
+
+
+def test_compliance_finds_raw_values_and_broken_lines(spark):
+    from palimpsest.operators import audit
+
+    log = spark.createDataFrame([(1, 0, '{"detail": "ok"}'), (1, 1, '{"detail": "card of Ann Lee (x)"}'), (2, 0, "{broken")], "doc_id int, seq int, body string")
+    got = audit.raw_values(log, spark.createDataFrame([("Ann Lee",), ("ok",), ("none",)], "value string")).collect()
+    assert [(r.doc_id, r.seq) for r in got] == [(1, 1)]

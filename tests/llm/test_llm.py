@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.llm import cover_tree, decontam, mixing, ngram_join, pii, secrets, sharding, spans, suffix_tree, text, toxicity, url_filter
 
@@ -309,3 +310,66 @@ def test_pipeline_stage_compares_rows_not_ids(spark):
     d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, d, "").collect()]
     assert sorted(got, key=str) == sorted([(1, a), (1, b), (None, c), (4, None), (4, None), (None, " "), (None, " ")], key=str)
+
+
+@pytest.mark.parametrize("words,percent", [(4, 85), (5, 80)])
+def test_ngram_join_with_a_passage_that_all_share(spark, words, percent):
+    r = np.random.default_rng(2)
+    shared = [f"s{i}" for i in range(60)]
+    rows = []
+    for i in range(90):
+        w = [f"o{i // 3}x{k}" for k in range(int(r.integers(0, 40)))] + shared
+        for _ in range(int(r.integers(0, 4))):
+            w[int(r.integers(0, len(w)))] = f"e{r.integers(0, 999)}"
+        rows.append((i, " ".join(w)))
+    sets = {i: {tuple(t.split()[k : k + words]) for k in range(len(t.split()) - words + 1)} for i, t in rows}
+    label = {i: i for i in sets}
+    for _ in range(9):
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), words=words, percent=percent, block=16)
+    assert {x.doc_id: x.component_id for x in got.collect()} == label
+
+
+def test_ngram_join_refuses_a_senseless_threshold(docs):
+    with pytest.raises(ValueError):
+        ngram_join.jaccard_components(docs, percent=0)
+
+
+def test_urls_in_blocks_and_with_long_hosts(spark):
+    hosts = [f"h{i}.example" for i in range(50)]
+    rows = [(i, f"http://www.h{i}.example/") for i in range(60)] + [(100, "http://" + "a." * 5000 + "h7.example/x"), (101, "http://" + "b." * 5000 + "com/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    table = spark.createDataFrame([(h,) for h in [*hosts, None, ""]], "h string")
+    for block_bytes in (500, 1 << 20):
+        got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, [("allow", "com/"), ("allow", "h3.example/")], table, block_bytes=block_bytes).collect()}
+        assert got == {i: ("h3.example/", "allow") if i == 3 else (None, "block" if i < 50 else "allow") for i in range(60)} | {100: (None, "block"), 101: ("com/", "allow")}
+
+
+def test_digests_that_collide_are_told_apart():
+    index = url_filter.DigestArray.build(["a", "b", "c"])
+    blob = np.frombuffer(index, np.uint8).copy()
+    blob[8:32] = np.frombuffer(np.uint64(url_filter.xxhash.xxh64_intdigest(b"b")).tobytes() * 3, np.uint8)  # all three digests alike
+    keys = url_filter.DigestArray(blob.tobytes())
+    assert [k >= 0 for k in keys.find(["b"])] == [True] and keys.key(int(keys.find(["b"])[0])) == b"b"
+
+
+def test_training_sample_takes_long_texts_and_one_text_for_an_id(spark):
+    rows = [(1, "b b"), (1, "a a"), (2, "long " * 50_000), (3, "other"), (4, None)]
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 0), (None, 1), (5, None)], "doc_id long, toxic int")
+    s = toxicity.training_sample(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), labels, 10)
+    want = toxicity.Sample.of(["a a", "long", "other", ""], [1, 1, 0, 0])
+    assert list(s.label) == [1, 1, 0, 0] and s.doc.tolist() == want.doc.tolist() and s.feat.tolist() == want.feat.tolist()
+
+
+def test_stages_take_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    names = ["doc_id", "text", "source", "target", "part", "s", "b", "cut", "_size", "draw", "_all", "_found0", "a.b", "key", "is_toxic"]
+    d = spark.createDataFrame([(i, f"some words here {i} " + "x y z " * i, "a", *["v"] * 12) for i in range(4)], T.StructType([T.StructField(n, T.LongType() if n == "doc_id" else T.StringType()) for n in names]))
+    got = corpus_pipeline.mix_sources(spark, d, "")
+    assert got.columns == names and {r["a.b"] for r in got.collect()} == {"v"}
+    marked = decontam.decontaminate(d, spark.createDataFrame([(1, "some words here 2")], "item_id long, text string"), keep=True)
+    assert marked.columns[: len(names)] == names and {r.doc_id for r in marked.where("contaminated").collect()} == {2}

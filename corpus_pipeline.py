@@ -10,6 +10,9 @@ from palimpsest.llm.queries import SHARDS, WEIGHTS, toxicity_model
 #: So many ids are sent to all tasks; more are joined by id.
 BROADCAST_IDS = 1_000_000
 
+#: Ranges of the positions in a shard of the mix: the values of a hash's first 20 bits.
+SLICES = 1 << 20
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts that are toxic with probability 1/2 or more; null and empty texts stay.
@@ -65,7 +68,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = mixed.select("*", F.explode("draws").alias("draw"))
     out = out.where(2 * F.col("draw.words") >= F.regexp_count(text, F.lit(WORD)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out = out.repartitionByRange(parts, "draw.shard", "draw.position").sortWithinPartitions("draw.shard", "draw.position")
+    # positions are hashes, so equal ranges of them hold equal parts of a shard and need no sample of the rows
+    place = F.col("draw.shard").cast("long") * SLICES + F.shiftright("draw.position", 44) + SLICES // 2
+    out = out.repartitionById(parts, F.floor(place * parts / (SHARDS * SLICES)).cast("int")).sortWithinPartitions("draw.shard", "draw.position")
     return out.select(*rows.columns).toDF(*docs.columns)
 
 

@@ -22,8 +22,8 @@ def targets(sources: DataFrame, weights: list[float], share: float, ceiling: flo
     s = s.withColumn("open", F.sum("weight").over(fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
     s = s.withColumn("all_words", F.sum("words").over(every))
     s = s.withColumn("level", (F.col("all_words") * F.lit(float(share)) - F.col("spent")) / F.col("open"))
-    # the first source that the level doesn't fill fixes it for all after it
-    s = s.withColumn("stop", F.min(F.when(F.col("level") <= F.col("limit") / F.col("weight"), F.struct((F.col("limit") / F.col("weight")).alias("k"), F.col("level").alias("level")))).over(every))
+    # the first source that the level doesn't fill fixes it for all after it; among equal ones the least is spent before the first
+    s = s.withColumn("stop", F.min(F.when(F.col("level") <= F.col("limit") / F.col("weight"), F.struct((F.col("limit") / F.col("weight")).alias("k"), "spent", "level"))).over(every))
     return s.select("source", "words", "weight", F.least(F.coalesce(F.col("weight") * F.col("stop.level"), F.col("limit")), F.col("limit")).alias("target"))
 
 

@@ -130,7 +130,8 @@ def mix(
     goal = durable(targets(by_block.groupBy("source").agg(F.sum("words").alias("words")), list(weights), share, ceiling))
     small = lambda df: bounded(df, broadcast_rows)
     # (source, block): at most `blocks` rows for each source
-    permuted = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 1), "source", "block"), "block")
+    # blocks without words come last: the last pass does not draw them, and its draws are numbered without gaps
+    permuted = Window.partitionBy("source").orderBy(F.col("words") == 0, F.xxhash64(F.lit(seed + 1), "source", "block"), "block")
     upto = F.sum("words").over(permuted.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     laid = (
         by_block.withColumn("nth", F.row_number().over(permuted) - 1)

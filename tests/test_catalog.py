@@ -5,6 +5,7 @@ import duckdb
 import pytest
 
 import palimpsest.plans.detection  # noqa: F401  (registers its queries)
+import palimpsest.plans.names  # noqa: F401
 import palimpsest.plans.release  # noqa: F401
 from palimpsest.plans.catalog import ORACLE, QUERIES
 

@@ -1,9 +1,11 @@
 """Shared plumbing: table access, durable intermediate tables, component labelling."""
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,41 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, rows)
 
 
+def give_back() -> None:
+    """Returns to the system what numpy and Arrow have freed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def lean(run):
+    """run, a function over batches; at its end the worker gives back what it freed.
+
+    Spark keeps its Python workers, and what an idle one holds counts against the executor while the JVM works.
+    """
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+def lean_group(solve):
+    """The same for a function over the table of a group."""
+
+    def whole(table):
+        try:
+            return solve(table)
+        finally:
+            give_back()
+
+    return whole
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which the driver and all executors share."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import named, plain, small_batches
+from .common import lean, named, plain, small_batches
 from .text import SEPARATOR, Words, chunks, mix64, strings
 
 #: Words end at ASCII marks as well as at whitespace.
@@ -338,4 +338,4 @@ def _pass(df: DataFrame, shared, text_col: str, name: str) -> DataFrame:
             found = [[{"id": index.ids[t], "edits": d} for t, d in sorted(x.items())] for x in find(index, strings(b.column(at)))]
             yield pa.record_batch([*b.columns, pa.array(found, kind)], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)

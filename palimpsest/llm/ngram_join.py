@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, durable, small_batches
+from .common import components, durable, lean, lean_group, small_batches
 from .suffix_tree import Tally, common_rows
 from .text import Words, chunks, mix64, strings
 
 _K = np.uint64(0xD6E8FEB86659FD93)
+#: Keys that a task holds to count them; sorting takes some 60 bytes for each.
+HELD = 1 << 20
+#: Bytes of texts whose keys are made at a time.
+PIECE = 1 << 18
 
 
 def shingle_runs(a: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -78,6 +82,27 @@ def unpack(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(both[:n], dtype=np.uint64), both[n:].astype(np.int64)
 
 
+def counted(batches, shift: int, width: int):
+    """Sorted runs (part, n, run) of the upper bits of the hashes in batches of arrays, each of a range of `width` keys."""
+    tally, shift, width = Tally(HELD), np.uint64(shift), np.uint64(width)
+
+    def out():
+        found, n = tally.take()
+        part = (found // width).astype(np.int64)
+        at = np.flatnonzero(np.diff(part, prepend=-1))
+        to = np.append(at[1:], len(part)) if len(at) else at
+        return pa.record_batch([pa.array(part[at].astype(np.int32)), pa.array((to - at).astype(np.int32)), pa.array([pack(found[i:j], n[i:j]) for i, j in zip(at, to)], pa.binary())], names=["part", "n", "run"])
+
+    for b in batches:
+        flat = b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        for i in range(0, len(flat), HELD):
+            tally.add(flat[i : i + HELD] >> shift)
+            if tally.full():
+                yield out()
+    if tally.size:
+        yield out()
+
+
 def frequent(keys: DataFrame, total: int, least: int) -> tuple[DataFrame, int]:
     """(key, n) of what occurs `least` times or more in the arrays of hashes of a one-column table, and a shift.
 
@@ -86,26 +111,9 @@ def frequent(keys: DataFrame, total: int, least: int) -> tuple[DataFrame, int]:
     runs, about 2 million keys, are summed in one task. A frequent hash is one entry of each run.
     """
     bits = min(63, max(16, int(total).bit_length() + 6))
-    shift = np.uint64(64 - bits)
+    shift = 64 - bits
     ranges = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // (1 << 21)), 1)
-    width = np.uint64(-(-(1 << bits) // ranges))
-
-    def run(batches):
-        tally = Tally(1 << 22)
-
-        def out():
-            found, n = tally.take()
-            part = (found // width).astype(np.int64)
-            at = np.flatnonzero(np.diff(part, prepend=-1))
-            to = np.append(at[1:], len(part)) if len(at) else at
-            return pa.record_batch([pa.array(part[at].astype(np.int32)), pa.array((to - at).astype(np.int32)), pa.array([pack(found[i:j], n[i:j]) for i, j in zip(at, to)], pa.binary())], names=["part", "n", "run"])
-
-        for b in batches:
-            tally.add(b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64) >> shift)
-            if tally.full():
-                yield out()
-        if tally.size:
-            yield out()
+    width = -(-(1 << bits) // ranges)
 
     def add(table):
         tally = Tally()
@@ -115,7 +123,8 @@ def frequent(keys: DataFrame, total: int, least: int) -> tuple[DataFrame, int]:
         often = n >= least
         return pa.table({"key": pa.array(found[often].view(np.int64)), "n": pa.array(n[often])})
 
-    return keys.mapInArrow(run, "part int, n int, run binary").groupBy("part").applyInArrow(add, "key long, n long"), int(shift)
+    runs = keys.mapInArrow(lean(lambda batches: counted(batches, shift, width)), "part int, n int, run binary")
+    return runs.groupBy("part").applyInArrow(lean_group(add), "key long, n long"), shift
 
 
 class Bands:
@@ -318,7 +327,7 @@ def _tasks(members: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
         return pa.table({"a": ids.take(pa.array(out_a, pa.int64())), "b": ids.take(pa.array(out_b, pa.int64()))})
 
     small_batches(spark)
-    return rows.groupBy("task").applyInArrow(solve, f"a {id_type}, b {id_type}")
+    return rows.groupBy("task").applyInArrow(lean_group(solve), f"a {id_type}, b {id_type}")
 
 
 def rarest(key: np.ndarray, mark: np.ndarray, first: np.ndarray, often: np.ndarray, needed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -420,14 +429,14 @@ def jaccard_components(
     def describe(batches):
         for b in batches:
             a = strings(b.column(1))
-            for i, j in chunks(a):
+            for i, j in chunks(a, PIECE):
                 h, first = flat_sets(a.slice(i, j - i), words)
                 keys, marks = zip(*[bands.keys(h[p:q]) for p, q in zip(first[:-1], first[1:])])
                 off = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(off, pa.array(np.concatenate(x))) for x in (keys, marks)]
                 yield pa.record_batch([b.column(0).slice(i, j - i), pa.array(np.diff(first)), *[pa.array(x.view(np.int64)) for x in set_hashes(h, first)], *lists], names=schema.names)
 
-    features = durable(docs.select(id_col, text_col).mapInArrow(describe, schema))
+    features = durable(docs.select(id_col, text_col).mapInArrow(lean(describe), schema))
     live = features.where("n > 0 and id is not null")
     reps = durable(live.groupBy("h1", "h2", "point").agg(F.min("id").alias("rep"), F.max("n").alias("n")))
 
@@ -463,9 +472,9 @@ def jaccard_components(
     # rough groups
     n_parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # range boundaries come from a sample of the rows: the rows are written, so that they are made once
-    keyed = durable(live.select("n", "point", "keys", "marks").mapInArrow(key_rows, "key long, na long, node long"))
+    keyed = durable(live.select("n", "point", "keys", "marks").mapInArrow(lean(key_rows), "key long, na long, node long"))
     pairs = keyed.repartitionByRange(n_parts, "key", "na", "node").sortWithinPartitions("key", "na", "node")
-    pairs = pairs.mapInArrow(lambda batches: chain(batches, percent), "a long, b long, key long")
+    pairs = pairs.mapInArrow(lean(lambda batches: chain(batches, percent)), "a long, b long, key long")
     pairs = durable(pairs.where("key is not null or a <> b").distinct())
     ends = pairs.where("key is not null")  # two for each partition
     stitched = ends.groupBy("key").agg(F.min("a").alias("b")).join(ends.select("key", "a"), "key").select("a", "b").where("a <> b")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import named, plain, small_batches
+from .common import lean, named, plain, small_batches
 from .text import SEPARATOR, Words, chunks, mix64, strings
 
 #: Words end at anything ASCII but letters and digits.
@@ -182,7 +182,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, most: int, bits: int = 1
             yield pa.record_batch([b.column(0), b.column(2), pa.array(feats, pa.list_(pa.int32()))], names=["i", "y", "f"])
 
     kind = got.schema["i"].dataType.simpleString()
-    t = got.select("i", "t", "y").mapInArrow(run, f"i {kind}, y int, f array<int>").orderBy("i").toArrow()
+    t = got.select("i", "t", "y").mapInArrow(lean(run), f"i {kind}, y int, f array<int>").orderBy("i").toArrow()
     f = t.column("f").combine_chunks()
     f = pa.concat_arrays(f.chunks) if isinstance(f, pa.ChunkedArray) else f
     size = np.diff(f.offsets.to_numpy())
@@ -214,5 +214,5 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
             cols = [pa.array(p.sum(1)), pa.array((p > 0.5).sum(1).astype(np.int32)), pa.array(p[:, 0]), pa.array(p[:, 0] >= 0.5)]
             yield pa.record_batch([*b.columns, *cols], names=schema.names)
 
-    out = named(base.mapInArrow(run, schema), docs, NEW)
+    out = named(base.mapInArrow(lean(run), schema), docs, NEW)
     return out if keep else out.drop(text_col)

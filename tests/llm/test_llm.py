@@ -1,6 +1,7 @@
 import base64
 import gzip
 import re
+import tracemalloc
 import zlib
 from urllib.parse import quote
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm import cover_tree, decontam, mixing, ngram_join, pii, secrets, sharding, spans, suffix_tree, text, toxicity, url_filter
+from palimpsest.llm import common, cover_tree, decontam, mixing, ngram_join, pii, secrets, sharding, spans, suffix_tree, text, toxicity, url_filter
 
 DOCS = "doc_id long, text string, source string, shard int, n long, extra string"
 LONG = "lorem ipsum dolor " * 20000
@@ -373,3 +374,39 @@ def test_stages_take_columns_of_any_name(spark):
     assert got.columns == names and {r["a.b"] for r in got.collect()} == {"v"}
     marked = decontam.decontaminate(d, spark.createDataFrame([(1, "some words here 2")], "item_id long, text string"), keep=True)
     assert marked.columns[: len(names)] == names and {r.doc_id for r in marked.where("contaminated").collect()} == {2}
+
+
+def test_keys_are_counted_in_bounded_memory():
+    r = np.random.default_rng(3)
+    own = r.integers(1 << 62, size=5_000_000)
+    own[::5] = 12345
+    lists = lambda x: pa.record_batch([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))], names=["keys"])
+    batches = [lists(x) for x in np.array_split(own, 40)]
+    found, times, width, kept, peak = [], [], 1 << 60, 0, 0
+    tracemalloc.start()
+    for b in ngram_join.counted(iter(batches), 1, width):
+        for part, n, run in zip(*[c.to_pylist() for c in b.columns]):
+            key, count = ngram_join.unpack(run, n)
+            assert (key // np.uint64(width) == part).all() and (np.diff(key.astype(np.int64)) > 0).all()
+            found.append(key)
+            times.append(count)
+            kept += key.nbytes + count.nbytes
+        peak = max(peak, tracemalloc.get_traced_memory()[1] - kept)
+        tracemalloc.reset_peak()
+    tracemalloc.stop()
+    key, inv = np.unique(np.concatenate(found), return_inverse=True)
+    wanted, n = np.unique(own.view(np.uint64) >> np.uint64(1), return_counts=True)
+    assert (key == wanted).all() and (np.bincount(inv, np.concatenate(times)) == n).all()
+    assert peak < 100e6
+
+
+def test_workers_give_back_what_they_freed():
+    def mb():
+        return int(re.search(r"RssAnon:\s+(\d+)", open("/proc/self/status").read())[1]) / 1024
+
+    held = [np.ones(12_000) for _ in range(3000)]  # 288 MB
+    last = np.ones(12_000)  # lies behind them and keeps them from going back by themselves
+    full = mb()
+    del held
+    assert list(common.lean(lambda batches: batches)(iter([1, 2]))) == [1, 2] and len(last)
+    assert full - mb() > 200

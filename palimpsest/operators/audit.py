@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import verifier
+from . import search, verifier
 from .entities import chain
 
 PAST = {"REDACT": "REDACTED", "BLOCK": "BLOCKED", "ALLOW": "ALLOWED", "REVIEW": "FLAGGED_FOR_REVIEW"}
@@ -75,16 +75,10 @@ def read(records: DataFrame, document=None, event: str | None = None, last: int
 def raw_values(records: DataFrame, needles: DataFrame, least: int = 3) -> DataFrame:
     """(doc_id, seq, value_hash): records whose body holds a value (needles: value), told by 16 digits of its hash.
 
-    Values are cut at what is no letter, digit, dot, @, + or -: a body's pieces are joined with the first piece of each
-    value, and only what meets there is searched, so no record is compared with every value.
+    Values of fewer than `least` characters, blanks around them aside, are not looked for. Bodies are searched where they are.
     """
-    cut = r"(?U)[^\p{L}\p{N}.@+\-]+"
-    values = needles.select(F.col("value")).where(F.length(F.trim("value")) >= least).distinct()
-    values = values.select("value", F.get(F.filter(F.split("value", cut), lambda p: p != ""), F.lit(0)).alias("p")).where("p is not null")
-    values = values.withColumn("g", F.substring("p", 1, least))
-    pieces = records.select("doc_id", "seq", "body", F.explode(F.filter(F.split("body", cut), lambda p: F.length(p) >= 1)).alias("w")).select("doc_id", "seq", "w", "body").distinct()
-    pieces = pieces.withColumn("g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.substring(F.col("w"), i, least)))))
-    hits = pieces.join(values, "g").where(F.contains("body", F.col("value")))
+    values = needles.select("value").where(F.length(F.trim("value")) >= least).distinct()
+    hits = search.held(records.select("doc_id", "seq", "body"), "body", values)
     return hits.select("doc_id", "seq", F.substring(F.sha2("value", 256), 1, 16).alias("value_hash")).distinct()
 
 

@@ -75,3 +75,18 @@ def test_compliance_finds_raw_values_and_broken_lines(spark):
     log = spark.createDataFrame([(1, 0, '{"detail": "ok"}'), (1, 1, '{"detail": "card of Ann Lee (x)"}'), (2, 0, "{broken")], "doc_id int, seq int, body string")
     got = audit.raw_values(log, spark.createDataFrame([("Ann Lee",), ("ok",), ("none",)], "value string")).collect()
     assert [(r.doc_id, r.seq) for r in got] == [(1, 1)]
+
+
+def test_values_are_found_in_long_lines_without_shuffling_them(spark, monkeypatch):
+    from palimpsest.operators import audit, search
+
+    words = " ".join(f"w{i}ab@c{i % 7}.org" for i in range(4000))
+    bodies = ["x" + words, "é😀Ann Lee 1", "Ann\nLee", None, "", "***", "abc", "a" * 3000, words[: search.HEAD]]
+    needles = ["w17ab@c3.org", "w3999ab@c2.org", "7ab@", "Ann Lee", "😀Ann", "***", "abc", " ab ", "absent", "ab", None, "a" * 2500, words[1500:9000]]
+    log = spark.createDataFrame(list(enumerate(bodies)), "seq int, body string").selectExpr("seq % 2 as doc_id", "seq", "body")
+    monkeypatch.setattr(search, "SLICE", 1 << 10)
+    found = search.held(log, "body", spark.createDataFrame([(v,) for v in needles if v], "value string"))
+    assert {(r.seq, r.value) for r in found.collect()} == {(i, v) for i, b in enumerate(bodies) for v in needles if v and b and v in b}
+    got = audit.raw_values(log, spark.createDataFrame([(v,) for v in needles], "value string"))
+    want = {(i, v) for i, b in enumerate(bodies) for v in needles if b and v and len(v.strip()) >= 3 and v in b}
+    assert got.count() == len(want) and {r.seq for r in got.collect()} == {i for i, _ in want}

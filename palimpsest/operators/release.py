@@ -18,7 +18,8 @@ def detect(blocks: DataFrame, patterns=PATTERNS, terms: list[str] = (), names: b
 
     Catalog scan, cue and section boosts, validators, resolution, cleaning, and, with names, names carried through
     each document. Returns doc_id, block_id, seq, entity_type, value, offsets, confidence, detection_layers. Up to resolution
-    a block is one row of one projection; from there on only entities are shuffled.
+    a block is one row of one projection; from there on only entities are shuffled, and, if a pattern finds persons, blocks once
+    to carry names. No other layer makes a PERSON, so without such a pattern there are no names to carry.
     """
     found = context.cue_boost(scan(blocks, patterns, keep_text=True))
     check = checks.validate(F.col("entity_type"), F.col("value"))
@@ -29,7 +30,7 @@ def detect(blocks: DataFrame, patterns=PATTERNS, terms: list[str] = (), names: b
     order = Window.partitionBy("doc_id", "block_id").orderBy("text_start", "text_end", "entity_type", "variant")
     rows = found.select("doc_id", "block_id", (F.row_number().over(order) - 1).alias("seq"), "entity_type", "value", "text_start", "text_end", sure.alias("confidence"), layers.alias("detection_layers"))
     rows = clean(resolve(rows), terms)
-    return propagate(blocks, rows, terms) if names else rows
+    return propagate(blocks, rows, terms) if names and any(p[0] == "PERSON" for p in patterns) else rows
 
 
 def injections(text: Column) -> Column:

@@ -82,13 +82,20 @@ def confirmed_names(e: DataFrame, terms: list[str] = (), least: float = 0.60) ->
 def occurrences(blocks: DataFrame, phrases: DataFrame, on: list[str], kind: str, confidence: float, layer: str) -> DataFrame:
     """Whole-word occurrences, in any case, of (.., name) in the blocks that agree on the columns `on`.
 
-    The blocks' words are joined with the phrases' first words, so no block meets a phrase that cannot be in it; a plain
-    substring test comes before the search for places. Phrases without a word are in no block.
+    With `on`, a key's phrases travel together, so a block is shuffled once at most, not once for each of its words.
+    Without it, the blocks' words are joined with the phrases' first words: a dictionary, which Spark sends to all tasks
+    while it is small; a larger one shuffles a block for each of its words. No block meets a phrase whose first word it
+    lacks; a plain substring test comes before the search for places. Phrases without a word are in no block.
     """
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w+"), 0)
+    held = lambda name: F.contains(F.lower("text"), F.lower(name))
     first = phrases.withColumn("_w", F.get(words("name"), F.lit(0))).where("_w is not null").distinct()
-    rows = blocks.withColumn("_w", F.explode(F.array_distinct(words("text"))))
-    near = rows.join(first, [*on, "_w"]).where(F.contains(F.lower("text"), F.lower("name")))
+    if on:
+        lists = first.groupBy(*on).agg(F.collect_list(F.struct("_w", "name")).alias("_p"))
+        rows = blocks.join(lists, on).withColumn("_p", F.filter("_p", lambda p: held(p["name"]))).where("size(_p) > 0").withColumn("_all", words("text"))
+        near = rows.withColumn("_p", F.explode(F.filter("_p", lambda p: F.array_contains("_all", p["_w"])))).withColumn("name", F.col("_p.name"))
+    else:
+        near = blocks.withColumn("_w", F.explode(F.array_distinct(words("text")))).join(first, "_w").where(held(F.col("name")))
     pattern = F.concat(F.lit(r"(?iuU)(?<!\w)\Q"), F.col("name"), F.lit(r"\E(?!\w)"))
     found = near.withColumn("_m", F.explode(matches(F.col("text"), pattern)))
     return found.select("doc_id", "block_id", F.lit(kind).alias("entity_type"), F.col("_m.v").alias("value"), F.col("_m.s").alias("text_start"), F.col("_m.e").alias("text_end"), F.lit(confidence).alias("confidence"), F.array(F.lit(layer)).alias("detection_layers"), "name")

@@ -90,3 +90,17 @@ def test_values_are_found_in_long_lines_without_shuffling_them(spark, monkeypatc
     got = audit.raw_values(log, spark.createDataFrame([(v,) for v in needles], "value string"))
     want = {(i, v) for i, b in enumerate(bodies) for v in needles if b and v and len(v.strip()) >= 3 and v in b}
     assert got.count() == len(want) and {r.seq for r in got.collect()} == {i for i, _ in want}
+
+
+def test_names_are_carried_without_a_row_for_each_word(spark):
+    from palimpsest.operators import release, resolution
+
+    blocks = spark.createDataFrame([(1, "a", "Hi Ann Lee, ann lee; Bo Ray"), (1, "b", "Ann Leeds and ANN LEE"), (2, "a", "Ann Lee"), (3, "a", None)], "doc_id int, block_id string, text string")
+    names = spark.createDataFrame([(1, "Ann Lee"), (1, "Bo Ray"), (1, "--"), (2, "Bo Ray"), (3, "Bo Ray")], "doc_id int, name string")
+    found = resolution.occurrences(blocks, names, ["doc_id"], "PERSON", 0.9, "ner")
+    assert sorted((r.doc_id, r.block_id, r.value, r.text_start, r.name) for r in found.collect()) == [(1, "a", "Ann Lee", 3, "Ann Lee"), (1, "a", "Bo Ray", 21, "Bo Ray"), (1, "a", "ann lee", 12, "Ann Lee"), (1, "b", "ANN LEE", 14, "Ann Lee")]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(array_distinct" not in plan(found) and "regexp_extract_all(lower(" not in plan(release.detect(blocks))
+    person = [("PERSON", "x", "Ann Lee", 0.9, False, False)]
+    got = release.detect(blocks, person).collect()
+    assert sorted((r.doc_id, r.block_id, r.value) for r in got) == [(1, "a", "Ann Lee"), (1, "a", "ann lee"), (1, "b", "ANN LEE"), (1, "b", "Ann Lee"), (2, "a", "Ann Lee")]

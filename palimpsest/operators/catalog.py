@@ -48,6 +48,9 @@ PATTERNS = [
     ("ADDRESS", "street", rf"\b\d{{1,5}}\s+(?:[A-Za-z0-9.]+\s+){{1,4}}(?:{_STREET})\.?(?:,\s*(?:Suite|Ste|Apt|Unit|Floor|Fl)\s*[A-Za-z0-9\-]+)?\b", 0.88, False, True),
 ]
 
+#: By pattern, what every match of it holds; a text without it needs no search. Patterns of other catalogs have no entry.
+SIGNS = {p: "@" if kind in ("EMAIL", "UPI") else "(?iuU)pesel" if variant == "cue" else r"(?U)\d" for kind, variant, p, *_ in PATTERNS}
+
 ALLOWED = [r"\bINC[-\s]?\d{4}[-\s]?\d+\b", r"\bRSK[-\s]?\d+\b", r"\bGRP[-\s]?POL[-\s]?\d+\b", r"\bCTL[-\s]?IAM[-\s]?\d+\b", r"\bREQ[-\s]?\d+\b", r"\bAUDIT[-\s]?\d+\b", r"\bVEN[-\s]?\d+\b", r"\bTPRM[-\s]?\d+\b", r"\bPOL[-\s]?\d+\b", r"\bCTL[-\s]?\d+\b", r"\bISO[-\s]?\d{4,5}(?::\d{4})?\b", r"\bNIST[-\s]?\w+[-\s]?\d+\b"]
 #: Values that resolution drops.
 RESOLVER_ALLOWED = [r"\bINC[-\s]?\d{4}[-\s]?\d+\b", r"\bRSK[-\s]?\d+\b", r"\bGRP[-\s]?POL[-\s]?\d+\b", r"\bCTL[-\s]?IAM[-\s]?\d+\b", r"\bISO[-\s]?\d{4,5}(?::\d{4})?\b", r"\bNIST[-\s]?\w+[-\s]?\d+\b"]

@@ -1,9 +1,12 @@
 """Native span scans: regular expressions to rows (start, end, value), with allow-lists and context gates."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import ALLOWED, CUES, PATTERNS, TABLE_HEADERS
+from .catalog import ALLOWED, CUES, PATTERNS, SIGNS, TABLE_HEADERS
 
 
 def java(pattern: str, any_case: bool) -> str:
@@ -36,14 +39,21 @@ def scan(blocks: DataFrame, patterns=PATTERNS, allow=ALLOWED, headers=TABLE_HEAD
 
     Blank texts and texts that are a table header give none. A match that overlaps an allow-listed span is dropped.
     A pattern that needs context keeps a match only if a cue of its type stands in the `window` characters before it.
-    One projection over the blocks, no shuffle; a pattern costs one failed search where it does not occur, and the
+    One projection over the blocks, no shuffle. A pattern with a sign (SIGNS) is searched only in texts that hold it, and
+    texts without a sign of any pattern are left out first; another costs one failed search where it does not occur. The
     allow-list is looked at only where something was found.
     """
     text = F.col("text")
-    rows = blocks.where(text.rlike(r"(?U)\S") & ~F.lower(F.trim(text)).isin(headers or [""]))
+    signs = sorted({SIGNS.get(p[2], "") for p in patterns})
+    rows = blocks.where(text.rlike(r"(?U)\S")) if "" in signs else blocks.where(reduce(or_, [text.rlike(s) for s in signs]))
+    rows = rows.where(~F.lower(F.trim(text)).isin(headers or [""]))
+    none = F.array().cast("array<struct<s:int,e:int,v:string>>")
     each = []
     for kind, variant, pattern, confidence, context, any_case in patterns:
-        found = F.transform(matches(text, java(pattern, any_case)), lambda m: F.struct(
+        there = matches(text, java(pattern, any_case))
+        if pattern in SIGNS and len(signs) > 1:  # with one sign all texts that are left hold it
+            there = F.when(text.rlike(SIGNS[pattern]), there).otherwise(none)
+        found = F.transform(there, lambda m: F.struct(
             F.lit(kind).alias("entity_type"), F.lit(variant).alias("variant"), F.lit(confidence).alias("confidence"), F.lit(context).alias("context"),
             m["s"].alias("text_start"), m["e"].alias("text_end"), m["v"].alias("value")))
         each.append(found)

@@ -104,3 +104,15 @@ def test_names_are_carried_without_a_row_for_each_word(spark):
     person = [("PERSON", "x", "Ann Lee", 0.9, False, False)]
     got = release.detect(blocks, person).collect()
     assert sorted((r.doc_id, r.block_id, r.value) for r in got) == [(1, "a", "Ann Lee"), (1, "a", "ann lee"), (1, "b", "ANN LEE"), (1, "b", "Ann Lee"), (2, "a", "Ann Lee")]
+
+
+def test_texts_without_a_sign_are_not_searched(spark, monkeypatch):
+    from palimpsest.plans.catalog import CATALOG_TEXTS
+
+    texts = [t for _, t in CATALOG_TEXTS] + ["ſee peſel abcdef", "١٢٣-45-6789 ssn", "plain words only", "a@upi b", "", None, "\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    every = lambda: sorted(map(tuple, spans.scan(df).collect()))
+    signed = every()
+    assert "(?U)\\d" in spans.scan(df)._jdf.queryExecution().optimizedPlan().toString().split("Filter")[-1]
+    monkeypatch.setattr(spans, "SIGNS", {})
+    assert signed == every() and {r[0] for r in signed} >= {18, 21}

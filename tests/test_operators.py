@@ -1,5 +1,6 @@
 import re
 
+import pandas as pd
 import pyspark.sql.functions as F
 import pytest
 
@@ -116,3 +117,20 @@ def test_texts_without_a_sign_are_not_searched(spark, monkeypatch):
     assert "(?U)\\d" in spans.scan(df)._jdf.queryExecution().optimizedPlan().toString().split("Filter")[-1]
     monkeypatch.setattr(spans, "SIGNS", {})
     assert signed == every() and {r[0] for r in signed} >= {18, 21}
+
+
+def test_texts_that_fold_to_themselves_have_no_view_of_their_own(spark):
+    from palimpsest.operators import verifier
+
+    units = spark.createDataFrame([(1, "a 123-45-6789"), (2, "plain"), (3, None), (4, "Dr Who"), (5, "J o h n  S m i t h")], "doc_id int, text string")
+    found = verifier.scan(units)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("spacing_evasion") == 1 and {r.doc_id for r in found.collect()} == {1, 4, 5}
+    look = verifier.views_of(verifier.ALLOWED, 4).func
+    got = look(pd.Series(["né über", "x１é", "a\u200bé ½ 1", "é RSK-12 1", "é J o h n", "e\u0301 J o h n", None]))
+    rows = [tuple(r) for r in got.itertuples(index=False)]
+    none = (None,) * 5
+    assert rows[0] == none and rows[6] == none
+    assert rows[1] == ("x1é", None, None, None, []) and rows[3] == ("é ###### 1", None, None, None, [])
+    assert rows[2] == ("aé 1⁄2 1", [0, 2, 3, 4, 4, 4, 5, 6, 7], None, None, [])
+    assert rows[4] == ("é J o h n", None, "éJohn", [0, 2, 4, 6, 8, 9], [{"s": 0, "e": 9}])
+    assert rows[5] == ("e J o h n", [0, 2, 3, 4, 5, 6, 7, 8, 9, 10], "eJohn", [0, 3, 5, 7, 9, 10], [{"s": 0, "e": 9}])
